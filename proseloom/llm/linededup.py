@@ -210,9 +210,11 @@ class LineDedup:
         """
         many = self.refs.where("n_docs >= 2").select("key", "first_doc")
         drop = self.postings.join(many, "key").where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_set("key").alias("drop")).withColumnRenamed("doc_id", "eff")
-        d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("eff"), F.struct(*docs.columns).alias("row"))
-        kind = docs.select(F.struct(*docs.columns).alias("row")).schema["row"].dataType.simpleString() if docs.columns else "int"
-        rows = d.join(drop, "eff", "left").select("doc_id", "text", "drop", "row")
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+        kind = docs.select(row).schema["row"].dataType.simpleString()
+        # The row is packed after the join, so that its text is shuffled once.
+        d = docs.select(row).withColumn("eff", F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(LAST)))
+        rows = d.join(drop, "eff", "left").select(F.col("row.doc_id").cast("bigint").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"), "drop", "row")
         return rows.mapInArrow(_rewrite, f"doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string, kept_text string, row {kind}")
 
 
