@@ -30,6 +30,8 @@ from .components import UnionFind, connected_components
 
 #: Sets that one task joins with as many others, in groups too large for one task.
 TILE = 2048
+#: Documents to a target of signatures, about: an edge may be found in as many targets as its sets share signatures.
+PART = 24576
 
 
 def size_class(n: int, num: int, den: int) -> int:
@@ -118,7 +120,9 @@ def _meet(t: pa.Table) -> pa.Table:
     """Of one target: edges between holders of equal signatures."""
     x = np.concatenate([np.frombuffer(d, np.int64).reshape(2, -1) for d in t.column("data").to_pylist()], axis=1)
     _, _, e = _stars(x[0].view(np.uint64), x[1].copy())
-    return pa.table({"a": pa.array(e[:, 0]), "b": pa.array(e[:, 1])})
+    sets = UnionFind()
+    e = [(a, b) for a, b in e.tolist() if sets.join(a, b)]
+    return pa.table({"a": pa.array([a for a, _ in e], pa.int64()), "b": pa.array([b for _, b in e], pa.int64())})
 
 
 def trie_join(sets: list[np.ndarray], num: int, den: int, split: int = 0) -> list[tuple[int, int]]:
@@ -216,9 +220,8 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     a null component and links nothing; rows that repeat a doc_id are one node. Shingles count as equal when
     their 64-bit hashes are. No partner or candidate is capped.
     """
-    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(d.select("doc_id").count() / 16384), 1)
+    parts = max(8, math.ceil(d.select("doc_id").count() / PART))
     routed = staged(d.mapInArrow(_route(words, num, den, parts), SCHEMA), "routed")
     rows = routed.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "digest")
     met = routed.where("part IS NOT NULL").select("part", "data").groupBy("part").applyInArrow(_meet, "a bigint, b bigint")
