@@ -134,7 +134,7 @@ _STORE = pa.schema([("sha", pa.binary()), ("digests", pa.list_(pa.binary())), ("
 
 def _store(packs: pa.Table, shared: pa.Table) -> pa.Table:
     """Rows of the chunk store: the bytes of the chunks that a file owns, and its list of all chunks."""
-    role = {(s, i): own for s, i, own in zip(shared.column("sha").to_pylist(), shared.column("seq").to_pylist(), shared.column("own").to_pylist(), strict=True)}
+    role = {(p[:16], int.from_bytes(p[16:], "big")): own for p, own in zip(shared.column("place").to_pylist(), shared.column("own").to_pylist(), strict=True)}
     rows, seen = [], set()
     for pack in packs.column("pack").to_pylist():
         for p in _opened(pack):
@@ -143,8 +143,8 @@ def _store(packs: pa.Table, shared: pa.Table) -> pa.Table:
                 continue
             seen.add(sha)
             parts = chunks(wav(p))
-            own = [role.get((sha, i), True) for i in range(len(parts))]
-            rows.append((sha, [d for d, _ in parts], [len(c) for _, c in parts], own, [(sha, i) in role and o for i, o in enumerate(own)], b"".join(c for (_, c), o in zip(parts, own, strict=True) if o)))
+            own = [role.get((sha[:16], i), True) for i in range(len(parts))]
+            rows.append((sha, [d for d, _ in parts], [len(c) for _, c in parts], own, [(sha[:16], i) in role and o for i, o in enumerate(own)], b"".join(c for (_, c), o in zip(parts, own, strict=True) if o)))
     cols = list(zip(*rows, strict=True)) or [()] * len(_STORE)
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, _STORE, strict=True)], schema=_STORE)
 
@@ -205,10 +205,12 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     index = staged(d.mapInArrow(_index, f"doc_id {kind}, n_bytes bigint, sha binary, digests array<binary>"), "index")
     targets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(index.count() / PACK))
     # Chunks whose digest another chunk has: the one of the smallest payload digest owns the bytes.
-    seqs = index.where("digests IS NOT NULL").select("sha", F.posexplode("digests").alias("seq", "digest"))
-    many = seqs.groupBy("digest").agg(F.min(F.struct("sha", "seq")).alias("first"), F.max(F.struct("sha", "seq")).alias("last")).where("first <> last")
-    shared = seqs.join(many, "digest").select("sha", "seq", (F.struct("sha", "seq") == F.col("first")).alias("own")).distinct()
-    target = F.pmod(F.conv(F.substring(F.hex("sha"), 1, 12), 16, 10).cast("bigint"), F.lit(targets))
+    # Here 128 bits of a payload's digest with 32 of the chunk's place name a chunk.
+    place = F.concat(F.substring("sha", 1, 16), F.unhex(F.lpad(F.hex("seq"), 8, "0"))).alias("place")
+    seqs = index.where("digests IS NOT NULL").select("sha", F.posexplode("digests").alias("seq", "digest")).select("digest", place)
+    many = seqs.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("digest", "first")
+    shared = seqs.join(many, "digest").select("place", (F.col("place") == F.col("first")).alias("own")).distinct()
+    target = F.pmod(F.conv(F.substring(F.hex("place"), 1, 12), 16, 10).cast("bigint"), F.lit(targets))
     packs = d.select("text").mapInArrow(_packs(targets), "target bigint, pack binary")
     store = packs.groupBy("target").cogroup(shared.withColumn("target", target).groupBy("target")).applyInArrow(_store, STORE)
     return index.select("doc_id", "n_bytes", "sha"), staged(store, "chunks")
