@@ -3,9 +3,9 @@
 The model's tokens are characters inside words (with a start and an end mark), so that texts of a few words
 and of words never seen before are still scored; a document's perplexity is per character. Counts come from
 all trusted text. Lower orders use continuation counts, every (language, order) has its own three discounts,
-and the tables are joined by hash of (language, n-gram). Documents travel as compressed blocks: each block
-names its distinct n-grams once, the n-grams are joined with the count tables, and their probabilities come
-back to the block, which adds them up per document. Nothing is broadcast but a filter of fixed size.
+and the tables are sharded by hash of (language, n-gram), where one join an order gives the probabilities of
+all distinct n-grams of the documents. Documents add them up: from a broadcast while their number is at most
+BROADCAST, which is counted first, and beyond it in compressed blocks that meet their n-grams in a join.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import mix, split_words, staged, table
 
-#: Characters in an n-gram; documents in a block at most; bits of the prefilter of trusted ids.
-ORDER, BLOCK_ROWS, FILTER_BITS = 5, 10_000, 1 << 23
+#: Characters in an n-gram; documents handled at once; bits of the prefilter of trusted ids.
+ORDER, SLICE, FILTER_BITS = 5, 4096, 1 << 23
+#: Distinct n-grams whose probabilities are broadcast (12 bytes each); beyond that documents travel to them in blocks.
+BROADCAST = 4_000_000
 #: A document stays if its perplexity is at most MARGIN times the QUANTILE of trusted text in its language, or if all
 #: its characters together exceed that by no more than SLACK nats: a few characters are no evidence.
 QUANTILE, MARGIN, SLACK = 0.99, 2.0, 12.0
@@ -84,6 +86,64 @@ def _open(blob: bytes) -> pa.Table:
     return pa.ipc.open_file(pa.BufferReader(blob)).read_all().combine_chunks()
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram): the distinct n-grams of each batch."""
+    for b in batches:
+        found: dict[str, set[str]] = {}
+        for at in range(0, b.num_rows, SLICE):
+            part = b.slice(at, SLICE)
+            for lang, rows in _by_lang(part):
+                words, _, _ = split_words(part.column("text").take(pa.array(rows)), lower=False)
+                found.setdefault(lang, set()).update(_grams(_clean(words))[1].tolist())
+        for lang, grams in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(sorted(grams))], names=["lang", "gram"])
+
+
+def _summed(docs, log_of) -> pa.Table:
+    """doc_id, lang, n_symbols, log_prob of a table or batch; log_of(lang, keys, grams) gives log probabilities."""
+    n, total = np.zeros(docs.num_rows, np.int64), np.zeros(docs.num_rows, np.float64)
+    for lang, rows in _by_lang(docs):
+        text = docs.column("text").take(pa.array(rows))
+        words, codes, off = split_words(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text, lower=False)
+        names = _clean(words)
+        keys, grams, back = _grams(names)
+        each = np.array([len(w) + 1 for w in names], np.int64)
+        starts = np.concatenate([[0], np.cumsum(each)])
+        sums = np.concatenate([[0.0], np.cumsum(log_of(lang, keys, grams)[back])])
+        word = sums[starts[1:]] - sums[starts[:-1]]
+        tot, cnt = np.concatenate([[0.0], np.cumsum(word[codes])]), np.concatenate([[0], np.cumsum(each[codes])])
+        total[rows], n[rows] = tot[off[1:]] - tot[off[:-1]], cnt[off[1:]] - cnt[off[:-1]]
+    return pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "n_symbols": pa.array(n), "log_prob": pa.array(total)}).cast(_SCORED)
+
+
+_SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("log_prob", pa.float64())])
+
+
+def _scorer(shared):
+    """Scores batches by tables of (sorted keys, log probabilities) for each language."""
+
+    def of(lang: str, keys: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        known, logp = shared.value[lang]
+        return logp[np.searchsorted(known, keys)].astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE):
+                yield from _summed(b.slice(at, SLICE), of).combine_chunks().to_batches()
+
+    return run
+
+
+def _key_of(grams: np.ndarray) -> np.ndarray:
+    """The hashes of n-grams given as strings, as _grams has them."""
+    codes = grams.astype(f"<U{ORDER}").view(np.uint32).reshape(len(grams), ORDER)
+    key = np.zeros(len(grams), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(ORDER):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + codes[:, i].astype(np.uint64) + np.uint64(1))
+    return key
+
+
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, lang, gram): the distinct n-grams of each block."""
     for b in batches:
@@ -98,30 +158,12 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _score(blobs: pa.Table, logs: pa.Table) -> pa.Table:
-    """Per document of a block: characters predicted and the sum of their natural log probabilities."""
-    out = []
-    lang_of, gram_of, log_of = (logs.column(c).to_pylist() for c in ("lang", "gram", "logp"))
+    """The documents of a block scored by the log probabilities that came back to it."""
     known: dict[str, dict[str, float]] = {}
-    for a, g, p in zip(lang_of, gram_of, log_of, strict=True):
+    for a, g, p in zip(*(logs.column(c).to_pylist() for c in ("lang", "gram", "logp")), strict=True):
         known.setdefault(a, {})[g] = p
-    for blob in blobs.column("data").to_pylist():
-        docs = _open(blob)
-        row, n, total = (np.zeros(docs.num_rows, t) for t in (np.int64, np.int64, np.float64))
-        for lang, rows in _by_lang(docs):
-            words, codes, off = split_words(docs.column("text").take(pa.array(rows)).combine_chunks(), lower=False)
-            names = _clean(words)
-            _, grams, back = _grams(names)
-            of = known.get(lang, {})
-            logp = np.array([of.get(g, np.nan) for g in grams.tolist()], np.float64)
-            each = np.array([len(w) + 1 for w in names], np.int64)
-            starts = np.concatenate([[0], np.cumsum(each)])
-            sums = np.concatenate([[0.0], np.cumsum(logp[back])])
-            word = sums[starts[1:]] - sums[starts[:-1]]
-            tot, cnt = np.concatenate([[0.0], np.cumsum(word[codes])]), np.concatenate([[0], np.cumsum(each[codes])])
-            total[rows], n[rows] = tot[off[1:]] - tot[off[:-1]], cnt[off[1:]] - cnt[off[:-1]]
-        out.append(pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "n_symbols": pa.array(n), "log_prob": pa.array(total)}))
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("log_prob", pa.float64())])
-    return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
+    of = lambda lang, keys, grams: np.array([known[lang][g] for g in grams.tolist()], np.float64)
+    return pa.concat_tables([_SCORED.empty_table(), *(_summed(_open(blob), of) for blob in blobs.column("data").to_pylist())])
 
 
 def gram_counts(trusted: DataFrame) -> DataFrame:
@@ -180,7 +222,19 @@ def _maybe(trusted_ids: DataFrame):
     return slot, run
 
 
-def perplexities(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+def _tables(logs: DataFrame):
+    """A broadcast of log probabilities, 12 bytes an n-gram, whose number the caller has checked."""
+    got = logs.toArrow()
+    lang, gram, logp = (got.column(c).to_numpy() for c in ("lang", "gram", "logp"))
+    keys, out = _key_of(np.asarray(gram, f"<U{ORDER}")), {}
+    for x in np.unique(lang.astype(str)):
+        rows = np.flatnonzero(lang == x)
+        order = rows[np.argsort(keys[rows])]
+        out[str(x)] = keys[order], logp[order].astype(np.float32)
+    return logs.sparkSession.sparkContext.broadcast(out)
+
+
+def perplexities(docs: DataFrame, trusted_ids: DataFrame, most: int = BROADCAST) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity for every row of docs (doc_id, text, lang; other columns ignored).
 
     trusted_ids: doc_id of the rows whose text trains the model. Null texts count as empty, null languages
@@ -192,10 +246,14 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     some = d.where("doc_id IS NOT NULL").withColumn("slot", slot).mapInArrow(keep, d.schema)
     counts = staged(gram_counts(some.join(ids, "doc_id", "left_semi")), "counts")
     tables = kneser_ney(counts)
-    blocks = staged(d.mapInArrow(_pack, "block bigint, data binary"), "blocks", "none")
-    named = staged(blocks.mapInArrow(_named, "block bigint, lang string, gram string"), "grams")
-    logs = named.join(log_probs(named.select("lang", "gram").distinct(), tables), ["lang", "gram"])
-    scored = blocks.groupBy("block").cogroup(logs.groupBy("block")).applyInArrow(_score, "doc_id bigint, lang string, n_symbols bigint, log_prob double")
+    logs = staged(log_probs(d.select("lang", "text").mapInArrow(_distinct, "lang string, gram string").distinct(), tables), "logs")
+    schema = "doc_id bigint, lang string, n_symbols bigint, log_prob double"
+    if logs.count() <= most:
+        scored = d.mapInArrow(_scorer(_tables(logs)), schema)
+    else:
+        blocks = staged(d.mapInArrow(_pack, "block bigint, data binary"), "blocks", "none")
+        named = blocks.mapInArrow(_named, "block bigint, lang string, gram string").join(logs, ["lang", "gram"])
+        scored = blocks.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(_score, schema)
     langs = counts.groupBy("lang").agg(F.lit(True).alias("has_model"))
     return scored.join(langs, "lang", "left").select("doc_id", "lang", "n_symbols", F.when((F.col("n_symbols") > 0) & F.col("has_model"), F.exp(-F.col("log_prob") / F.col("n_symbols"))).alias("perplexity"))
 
