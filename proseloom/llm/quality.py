@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import mix, split_words, staged, table
 
 #: Characters in an n-gram; documents handled at once; bits of the prefilter of trusted ids.
-ORDER, SLICE, FILTER_BITS = 5, 4096, 1 << 23
+ORDER, SLICE, FILTER_BITS = 5, 1024, 1 << 23
 #: Distinct n-grams whose probabilities are broadcast (12 bytes each); beyond that documents travel to them in blocks.
 BROADCAST = 4_000_000
 #: A document stays if its perplexity is at most MARGIN times the QUANTILE of trusted text in its language, or if all
@@ -60,15 +60,19 @@ def _by_lang(b: pa.Table | pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, n) of a batch of trusted text."""
     for b in batches:
-        for lang, rows in _by_lang(b):
-            words, codes, _ = split_words(b.column("text").take(pa.array(rows)), lower=False)
-            names = _clean(words)
-            if not names:
-                continue
-            _, grams, back = _grams(names)
-            each = np.array([len(w) + 1 for w in names])
-            n = np.bincount(back, np.repeat(np.bincount(codes, minlength=len(names)), each), len(grams))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.tolist()), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+        yield from _counted(b)
+
+
+def _counted(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for lang, rows in _by_lang(b):
+        words, codes, _ = split_words(b.column("text").take(pa.array(rows)), lower=False)
+        names = _clean(words)
+        if not names:
+            continue
+        _, grams, back = _grams(names)
+        each = np.array([len(w) + 1 for w in names])
+        n = np.bincount(back, np.repeat(np.bincount(codes, minlength=len(names)), each), len(grams))
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.tolist()), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,15 +226,21 @@ def _maybe(trusted_ids: DataFrame):
     return slot, run
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, key, logp): n-grams by their hashes, so that the driver sees no strings."""
+    for b in batches:
+        keys = _key_of(np.array(b.column("gram").to_pylist(), f"<U{ORDER}"))
+        yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(keys.view(np.int64)), b.column("logp").cast(pa.float32())], names=["lang", "key", "logp"])
+
+
 def _tables(logs: DataFrame):
     """A broadcast of log probabilities, 12 bytes an n-gram, whose number the caller has checked."""
-    got = logs.toArrow()
-    lang, gram, logp = (got.column(c).to_numpy() for c in ("lang", "gram", "logp"))
-    keys, out = _key_of(np.asarray(gram, f"<U{ORDER}")), {}
-    for x in np.unique(lang.astype(str)):
-        rows = np.flatnonzero(lang == x)
-        order = rows[np.argsort(keys[rows])]
-        out[str(x)] = keys[order], logp[order].astype(np.float32)
+    out = {}
+    for lang in [r.lang for r in logs.select("lang").distinct().collect()]:
+        got = logs.where(F.col("lang") == lang).mapInArrow(_keyed, "lang string, key bigint, logp float").select("key", "logp").toArrow()
+        keys, logp = got.column("key").to_numpy().view(np.uint64), got.column("logp").to_numpy()
+        order = np.argsort(keys)
+        out[lang] = keys[order], logp[order]
     return logs.sparkSession.sparkContext.broadcast(out)
 
 
