@@ -75,7 +75,7 @@ def paragraph_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 def shingle_overlap_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct six-word runs that each document shares with each benchmark item: an equi-join on the run."""
-    runs = lambda d, i: d.select(i, F.explode(T.shingles(T.word_list(F.col("text")), 6)).alias("s"))
+    runs = lambda d, i: d.select(i, T.word_list(F.col("text")).alias("w")).select(i, F.explode(T.shingles(F.col("w"), 6)).alias("s"))
     return runs(_t(spark, sf, "documents"), "doc_id").join(runs(_t(spark, sf, "benchmark"), "item_id"), "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
