@@ -32,6 +32,8 @@ from .components import UnionFind, connected_components
 TILE = 2048
 #: Documents to a target of signatures, about: an edge may be found in as many targets as its sets share signatures.
 PART = 24576
+#: Signatures that a target sorts at once, about.
+SLICE = 1 << 17
 
 
 def size_class(n: int, num: int, den: int) -> int:
@@ -117,12 +119,23 @@ def _stars(sig: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _meet(t: pa.Table) -> pa.Table:
-    """Of one target: edges between holders of equal signatures."""
-    x = np.concatenate([np.frombuffer(d, np.int64).reshape(2, -1) for d in t.column("data").to_pylist()], axis=1)
-    _, _, e = _stars(x[0].view(np.uint64), x[1].copy())
-    sets = UnionFind()
-    e = [(a, b) for a, b in e.tolist() if sets.join(a, b)]
-    return pa.table({"a": pa.array([a for a, _ in e], pa.int64()), "b": pa.array([b for _, b in e], pa.int64())})
+    """Of one target: a forest of edges between holders of equal signatures, SLICE signatures at a time.
+
+    The blobs hold their signatures in ascending order, so a slice is a range of each of them and only slices are sorted.
+    """
+    blobs = [np.frombuffer(d.as_buffer(), np.int64).reshape(2, -1) for d in t.column("data")]
+    k = 1 + sum(b.shape[1] for b in blobs) // SLICE
+    inner = np.arange(1, k, dtype=np.uint64) * np.uint64((2**64 - 1) // k)
+    cuts = [[0, *np.searchsorted(b[0].view(np.uint64), inner).tolist(), b.shape[1]] for b in blobs]
+    sets, found = UnionFind(), []
+    for i in range(k):
+        x = np.concatenate([b[:, c[i] : c[i + 1]] for b, c in zip(blobs, cuts, strict=True)], axis=1)
+        if x.shape[1]:
+            _, _, e = _stars(x[0].view(np.uint64), x[1])
+            e = e[[sets.join(a, b) for a, b in e.tolist()]] if len(e) else e
+            found.append(e)
+    e = np.concatenate([np.zeros((0, 2), np.int64), *found])
+    return pa.table({"a": pa.array(e[:, 0]), "b": pa.array(e[:, 1])})
 
 
 def trie_join(sets: list[np.ndarray], num: int, den: int, split: int = 0) -> list[tuple[int, int]]:
