@@ -34,6 +34,8 @@ TILE = 2048
 PART = 24576
 #: Signatures that a target sorts at once, about.
 SLICE = 1 << 17
+#: Texts whose shingles a worker makes at once.
+ROWS = 512
 
 
 def size_class(n: int, num: int, den: int) -> int:
@@ -70,22 +72,29 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _each_set(b: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
+    """The shingle sets of a batch's texts in order, made for ROWS texts at a time."""
+    for at in range(0, b.num_rows, ROWS):
+        yield from shingle_sets(b.column("text").slice(at, ROWS), n)
+
+
 def _route(n: int, num: int, den: int, parts: int):
     """Of a batch: each row's shingle count and digest, the signatures packed by target, and edges found here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            sizes, digests, seen, sig, who = [], [], set(), [], []
             ids = b.column("doc_id").to_pylist()
-            sets = shingle_sets(b.column("text"), n)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield _row(b.num_rows, doc_id=pa.array(ids, pa.int64()), n_shingles=pa.array([len(s) for s in sets], pa.int64()), digest=pa.array(digests, pa.binary()))
-            seen, sig, who = set(), [], []
-            for i, s, d in zip(ids, sets, digests, strict=True):
+            for i, s in zip(ids, _each_set(b, n), strict=True):
+                d = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+                sizes.append(len(s))
+                digests.append(d)
                 if i is not None and d is not None and d not in seen:
                     seen.add(d)
                     x = signatures(s, num, den)
                     sig.append(x)
                     who.append(np.full(len(x), i, np.int64))
+            yield _row(b.num_rows, doc_id=pa.array(ids, pa.int64()), n_shingles=pa.array(sizes, pa.int64()), digest=pa.array(digests, pa.binary()))
             if not sig:
                 continue
             sig, who, edges = _stars(np.concatenate(sig), np.concatenate(who))
@@ -218,8 +227,8 @@ def _join_groups(num: int, den: int):
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [s.tobytes() for s in shingle_sets(b.column("text"), n)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grp"), b.column("size"), pa.array(sets, pa.binary())], names=["doc_id", "grp", "size", "hashes"])
+            sets = pa.array([s.tobytes() for s in _each_set(b, n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grp"), b.column("size"), sets], names=["doc_id", "grp", "size", "hashes"])
 
     return run
 
