@@ -16,6 +16,7 @@ from ..functions.tells import RULES, portable
 from ..operators import admission as A
 from ..operators import rates as R
 from ..operators import records as S
+from . import evidence
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -218,3 +219,5 @@ SELECT run, sent, omitted, CASE WHEN omitted > 0 THEN 'omitted' WHEN lazy >= 2 A
     "metric_shares": "SELECT event_type, CAST(sum(event_id % 50) AS BIGINT) AS sent, CAST(sum(event_id % 7) AS BIGINT) AS changed, CASE WHEN sum(event_id % 50) > 0 THEN 100.0::DOUBLE * sum(event_id % 7) / sum(event_id % 50) ELSE 0.0 END AS share FROM events GROUP BY event_type",
     "revert_caps": "SELECT doc_id, CAST(CASE WHEN doc_id % 25 >= 3 THEN least(greatest(8, ceil(n_chars % 90 / 4)), floor(doc_id % 25 / 2)) ELSE greatest(8, ceil(n_chars % 90 / 4)) END AS BIGINT) AS cap FROM documents",
 }
+QUERIES |= evidence.QUERIES
+SQL |= evidence.SQL
