@@ -32,8 +32,8 @@ from .components import UnionFind, connected_components
 TILE = 2048
 #: Documents to a target of signatures, about: an edge may be found in as many targets as its sets share signatures.
 PART = 24576
-#: Signatures that a target sorts at once, about.
-SLICE = 1 << 17
+#: Slices of a target's signatures, by their top bits; a task holds and sorts one at a time.
+SLICES = 8
 #: Texts whose shingles a worker makes at once.
 ROWS = 512
 
@@ -99,18 +99,17 @@ def _route(n: int, num: int, den: int, parts: int):
                 continue
             sig, who, edges = _stars(np.concatenate(sig), np.concatenate(who))
             yield _row(len(edges), a=pa.array(edges[:, 0]), b=pa.array(edges[:, 1]))
-            to = (sig % np.uint64(parts)).astype(np.int64)
+            to = (sig % np.uint64(parts) * np.uint64(SLICES) + sig // np.uint64(2**64 // SLICES)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            cut = np.searchsorted(to[order], np.arange(parts + 1))
-            full = [p for p in range(parts) if cut[p + 1] > cut[p]]
-            blobs = [np.stack([sig[o].view(np.int64), who[o]]).tobytes() for o in (order[cut[p] : cut[p + 1]] for p in full)]
-            yield _row(len(full), part=pa.array(full, pa.int64()), data=pa.array(blobs, pa.binary()))
+            full, cut = np.unique(to[order], return_index=True)
+            blobs = [np.stack([sig[o].view(np.int64), who[o]]).tobytes() for o in np.split(order, cut[1:])]
+            yield _row(len(full), part=pa.array(full // SLICES), slice=pa.array(full % SLICES), data=pa.array(blobs, pa.binary()))
 
     return run
 
 
-SCHEMA = "doc_id bigint, n_shingles bigint, digest binary, a bigint, b bigint, part bigint, data binary"
-_TYPES = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "digest": pa.binary(), "a": pa.int64(), "b": pa.int64(), "part": pa.int64(), "data": pa.binary()}
+SCHEMA = "doc_id bigint, n_shingles bigint, digest binary, a bigint, b bigint, part bigint, slice bigint, data binary"
+_TYPES = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "digest": pa.binary(), "a": pa.int64(), "b": pa.int64(), "part": pa.int64(), "slice": pa.int64(), "data": pa.binary()}
 
 
 def _row(n: int, **cols: pa.Array) -> pa.RecordBatch:
@@ -127,24 +126,29 @@ def _stars(sig: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return sig[new], who[new], edges
 
 
-def _meet(t: pa.Table) -> pa.Table:
-    """Of one target: a forest of edges between holders of equal signatures, SLICE signatures at a time.
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each target: a forest of edges between holders of equal signatures.
 
-    The blobs hold their signatures in ascending order, so a slice is a range of each of them and only slices are sorted.
+    Rows come ordered by target and slice, so that no more than one slice and the target's forest are held.
     """
-    blobs = [np.frombuffer(d.as_buffer(), np.int64).reshape(2, -1) for d in t.column("data")]
-    k = 1 + sum(b.shape[1] for b in blobs) // SLICE
-    inner = np.arange(1, k, dtype=np.uint64) * np.uint64((2**64 - 1) // k)
-    cuts = [[0, *np.searchsorted(b[0].view(np.uint64), inner).tolist(), b.shape[1]] for b in blobs]
-    sets, found = UnionFind(), []
-    for i in range(k):
-        x = np.concatenate([b[:, c[i] : c[i + 1]] for b, c in zip(blobs, cuts, strict=True)], axis=1)
-        if x.shape[1]:
-            _, _, e = _stars(x[0].view(np.uint64), x[1])
-            e = e[[sets.join(a, b) for a, b in e.tolist()]] if len(e) else e
-            found.append(e)
-    e = np.concatenate([np.zeros((0, 2), np.int64), *found])
-    return pa.table({"a": pa.array(e[:, 0]), "b": pa.array(e[:, 1])})
+    at, blobs, sets = (None, None), [], UnionFind()
+    for b in batches:
+        data = b.column("data")
+        for i, here in enumerate(zip(b.column("part").to_pylist(), b.column("slice").to_pylist(), strict=True)):
+            if here != at:
+                yield from _forest(blobs, sets)
+                blobs, sets, at = [], sets if here[0] == at[0] else UnionFind(), here
+            blobs.append(data[i].as_py())
+    yield from _forest(blobs, sets)
+
+
+def _forest(blobs: list[bytes], sets: UnionFind) -> Iterator[pa.RecordBatch]:
+    """The edges of one slice that join what was apart."""
+    if blobs:
+        x = np.concatenate([np.frombuffer(d, np.int64).reshape(2, -1) for d in blobs], axis=1)
+        _, _, e = _stars(x[0].view(np.uint64), x[1])
+        e = e[[sets.join(a, b) for a, b in e.tolist()]] if len(e) else e
+        yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
 
 def trie_join(sets: list[np.ndarray], num: int, den: int, split: int = 0) -> list[tuple[int, int]]:
@@ -246,7 +250,7 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     parts = max(8, math.ceil(d.select("doc_id").count() / PART))
     routed = staged(d.mapInArrow(_route(words, num, den, parts), SCHEMA), "routed")
     rows = routed.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "digest")
-    met = routed.where("part IS NOT NULL").select("part", "data").groupBy("part").applyInArrow(_meet, "a bigint, b bigint")
+    met = routed.where("part IS NOT NULL").select("part", "slice", "data").repartition("part").sortWithinPartitions("part", "slice").mapInArrow(_meet, "a bigint, b bigint")
     coarse = connected_components(met.unionAll(routed.where("a IS NOT NULL").select("a", "b")))
     # Equal sets are a class, which its smallest doc_id stands for.
     classes = staged(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")

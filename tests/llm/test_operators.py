@@ -3,6 +3,7 @@
 import hashlib
 import io
 import os
+import re
 import random
 import sys
 import zlib
@@ -160,6 +161,26 @@ def test_similar_documents_hard_rows(spark):
     assert jaccard.similar_documents(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("words", "num"), [(5, 80), (3, 90)])
+def test_similar_documents_brute_force(spark, words, num):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text or "") for r in d.collect()]
+    rows += [(10_000 + i, f"{t} added{i}") for i, t in rows[:60]]
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} or ({tuple(w)} if w else set())
+    group = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), words, num, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), group[i]) for i in sets}
+    assert len(set(group.values())) < len(group) - 50
+
+
 def test_sentencepiece_equals_the_library(spark):
     import sentencepiece
 
