@@ -6,6 +6,10 @@ all trusted text. Lower orders use continuation counts, every (language, order)
 and the tables are sharded by hash of (language, n-gram), where one join an order gives the probabilities of
 all distinct n-grams of the documents. Documents add them up: from a broadcast while their number is at most
 BROADCAST, which is counted first, and beyond it in compressed blocks that meet their n-grams in a join.
+
+Across word boundaries a second model judges repetition, which likelihood alone rewards: each word's class is how far
+back the same word stands (1, 2, 3 to 4, 5 to 8, or no nearer), and a bigram of these classes, seen words or not, gives
+a perplexity per word. Repeats further back than LAGS words, and the order of words that do not recur, are not judged.
 """
 
 from __future__ import annotations
@@ -28,6 +32,9 @@ BROADCAST = 4_000_000
 #: its characters together exceed that by no more than SLACK nats: a few characters are no evidence.
 QUANTILE, MARGIN, SLACK = 0.99, 2.0, 12.0
 BOS, EOS = "\x01", "\x02"
+#: The last distance of each class of recurring words; one more class for the others and one context more for a start.
+LAGS = (1, 2, 4, 8)
+CLASSES = len(LAGS) + 1
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,18 +64,49 @@ def _by_lang(b: pa.Table | pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
         yield x, np.flatnonzero(lang == x)
 
 
+def _classes(codes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the class before it (CLASSES at a text's start) and its own."""
+    own, start = np.full(len(codes), CLASSES - 1), np.repeat(off[:-1], np.diff(off))
+    at = np.arange(len(codes)) - start
+    for lag in range(LAGS[-1], 0, -1):
+        same = np.flatnonzero((codes[lag:] == codes[:-lag]) & (at[lag:] >= lag)) + lag
+        own[same] = np.searchsorted(LAGS, lag)
+    before = np.concatenate([[CLASSES], own[:-1]]) if len(own) else own
+    return np.where(at == 0, CLASSES, before), own
+
+
+def _class_logs(pairs: DataFrame) -> dict[str, np.ndarray]:
+    """By language, log P(class | class before), interpolated with P(class), which adds one to each class.
+
+    All counts are occurrences: with so few classes, numbers of different contexts say nothing.
+    """
+    n: dict[str, np.ndarray] = {}
+    for r in pairs.collect():
+        n.setdefault(r.lang, np.zeros((CLASSES + 1, CLASSES)))[ord(r.gram[0]) - 3, ord(r.gram[1]) - 3] = r.n
+    out = {}
+    for lang, c in n.items():
+        low = (c.sum(0) + 1) / (c.sum() + CLASSES)
+        kinds, total = (c > 0).sum(1, keepdims=True), c.sum(1, keepdims=True)
+        out[lang] = np.log(np.where(total > 0, (np.maximum(c - 0.75, 0) + 0.75 * kinds * low) / np.maximum(total, 1), low))
+    return out
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n) of a batch of trusted text."""
+    """(lang, gram, n) of a batch of trusted text; a gram that ends in BOS holds two classes of words."""
     for b in batches:
         yield from _counted(b)
 
 
 def _counted(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for lang, rows in _by_lang(b):
-        words, codes, _ = split_words(b.column("text").take(pa.array(rows)), lower=False)
+        words, codes, off = split_words(b.column("text").take(pa.array(rows)), lower=False)
         names = _clean(words)
         if not names:
             continue
+        before, own = _classes(codes, off)
+        pairs = np.bincount(before * CLASSES + own, minlength=(CLASSES + 1) * CLASSES)
+        seen = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen)), pa.array([chr(3 + x // CLASSES) + chr(3 + x % CLASSES) + BOS for x in seen.tolist()]), pa.array(pairs[seen].astype(np.int64))], names=["lang", "gram", "n"])
         _, grams, back = _grams(names)
         each = np.array([len(w) + 1 for w in names])
         n = np.bincount(back, np.repeat(np.bincount(codes, minlength=len(names)), each), len(grams))
@@ -103,9 +141,10 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(sorted(grams))], names=["lang", "gram"])
 
 
-def _summed(docs, log_of) -> pa.Table:
-    """doc_id, lang, n_symbols, log_prob of a table or batch; log_of(lang, keys, grams) gives log probabilities."""
+def _summed(docs, log_of, classes: dict[str, np.ndarray]) -> pa.Table:
+    """The columns of _SCORED of a table or batch; log_of(lang, keys, grams) gives log probabilities."""
     n, total = np.zeros(docs.num_rows, np.int64), np.zeros(docs.num_rows, np.float64)
+    n_words, again = np.zeros(docs.num_rows, np.int64), np.zeros(docs.num_rows, np.float64)
     for lang, rows in _by_lang(docs):
         text = docs.column("text").take(pa.array(rows))
         words, codes, off = split_words(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text, lower=False)
@@ -117,13 +156,17 @@ def _summed(docs, log_of) -> pa.Table:
         word = sums[starts[1:]] - sums[starts[:-1]]
         tot, cnt = np.concatenate([[0.0], np.cumsum(word[codes])]), np.concatenate([[0], np.cumsum(each[codes])])
         total[rows], n[rows] = tot[off[1:]] - tot[off[:-1]], cnt[off[1:]] - cnt[off[:-1]]
-    return pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "n_symbols": pa.array(n), "log_prob": pa.array(total)}).cast(_SCORED)
+        n_words[rows] = np.diff(off)
+        if lang in classes:
+            run = np.concatenate([[0.0], np.cumsum(classes[lang][_classes(codes, off)])])
+            again[rows] = run[off[1:]] - run[off[:-1]]
+    return pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "n_symbols": pa.array(n), "log_prob": pa.array(total), "n_words": pa.array(n_words), "log_again": pa.array(again)}).cast(_SCORED)
 
 
-_SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("log_prob", pa.float64())])
+_SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("log_prob", pa.float64()), ("n_words", pa.int64()), ("log_again", pa.float64())])
 
 
-def _scorer(shared):
+def _scorer(shared, classes: dict[str, np.ndarray]):
     """Scores batches by tables of (sorted keys, log probabilities) for each language."""
 
     def of(lang: str, keys: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -133,7 +176,7 @@ def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
-                yield from _summed(b.slice(at, SLICE), of).combine_chunks().to_batches()
+                yield from _summed(b.slice(at, SLICE), of, classes).combine_chunks().to_batches()
 
     return run
 
@@ -161,18 +204,22 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array([lang] * len(part)), pa.array(part)], names=["block", "lang", "gram"])
 
 
-def _score(blobs: pa.Table, logs: pa.Table) -> pa.Table:
+def _score(blobs: pa.Table, logs: pa.Table, classes: dict[str, np.ndarray]) -> pa.Table:
     """The documents of a block scored by the log probabilities that came back to it."""
     known: dict[str, dict[str, float]] = {}
     for a, g, p in zip(*(logs.column(c).to_pylist() for c in ("lang", "gram", "logp")), strict=True):
         known.setdefault(a, {})[g] = p
     of = lambda lang, keys, grams: np.array([known[lang][g] for g in grams.tolist()], np.float64)
-    return pa.concat_tables([_SCORED.empty_table(), *(_summed(_open(blob), of) for blob in blobs.column("data").to_pylist())])
+    return pa.concat_tables([_SCORED.empty_table(), *(_summed(_open(blob), of, classes) for blob in blobs.column("data").to_pylist())])
+
+
+def _all_counts(trusted: DataFrame) -> DataFrame:
+    return trusted.mapInArrow(_count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def gram_counts(trusted: DataFrame) -> DataFrame:
     """(lang, gram, n): how often each n-gram of the highest order occurs in (lang, text) rows."""
-    return trusted.mapInArrow(_count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return _all_counts(trusted).where(~F.col("gram").endswith(BOS))
 
 
 def kneser_ney(counts: DataFrame) -> list[DataFrame]:
@@ -245,7 +292,9 @@ def _tables(logs: DataFrame):
 
 
 def perplexities(docs: DataFrame, trusted_ids: DataFrame, most: int = BROADCAST) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity for every row of docs (doc_id, text, lang; other columns ignored).
+    """doc_id, lang, n_symbols, perplexity, n_words, repetition for every row of docs (doc_id, text, lang; other columns ignored).
+
+    perplexity is per character, repetition the perplexity per word of the classes of recurring words.
 
     trusted_ids: doc_id of the rows whose text trains the model. Null texts count as empty, null languages
     as a language ''. Without words perplexity is null; likewise in a language without trusted text.
@@ -254,31 +303,35 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, most: int = BROADCAST)
     ids = trusted_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     slot, keep = _maybe(ids)
     some = d.where("doc_id IS NOT NULL").withColumn("slot", slot).mapInArrow(keep, d.schema)
-    counts = staged(gram_counts(some.join(ids, "doc_id", "left_semi")), "counts")
+    both = staged(_all_counts(some.join(ids, "doc_id", "left_semi")), "counts")
+    counts, classes = both.where(~F.col("gram").endswith(BOS)), _class_logs(both.where(F.col("gram").endswith(BOS)))
     tables = kneser_ney(counts)
     logs = staged(log_probs(d.select("lang", "text").mapInArrow(_distinct, "lang string, gram string").distinct(), tables), "logs")
-    schema = "doc_id bigint, lang string, n_symbols bigint, log_prob double"
+    schema = "doc_id bigint, lang string, n_symbols bigint, log_prob double, n_words bigint, log_again double"
     if logs.count() <= most:
-        scored = d.mapInArrow(_scorer(_tables(logs)), schema)
+        scored = d.mapInArrow(_scorer(_tables(logs), classes), schema)
     else:
         blocks = staged(d.mapInArrow(_pack, "block bigint, data binary"), "blocks", "none")
         named = blocks.mapInArrow(_named, "block bigint, lang string, gram string").join(logs, ["lang", "gram"])
-        scored = blocks.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(_score, schema)
+        scored = blocks.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(lambda blobs, known: _score(blobs, known, classes), schema)
     langs = counts.groupBy("lang").agg(F.lit(True).alias("has_model"))
-    return scored.join(langs, "lang", "left").select("doc_id", "lang", "n_symbols", F.when((F.col("n_symbols") > 0) & F.col("has_model"), F.exp(-F.col("log_prob") / F.col("n_symbols"))).alias("perplexity"))
+    per = lambda total, n: F.when((F.col(n) > 0) & F.col("has_model"), F.exp(-F.col(total) / F.col(n)))
+    return scored.join(langs, "lang", "left").select("doc_id", "lang", "n_symbols", per("log_prob", "n_symbols").alias("perplexity"), "n_words", per("log_again", "n_words").alias("repetition"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, slack: float = SLACK) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, threshold, keep: one row for each row of docs.
+    """doc_id, lang, n_symbols, perplexity, threshold, n_words, repetition, repetition_threshold, keep: one row for each row of docs.
 
-    Trusted text is every document that labels marks quality 1. The threshold of a language is margin times
-    the given quantile of its trusted documents' perplexity; slack is how many nats a text may exceed it. Texts without words go; texts in a language
+    A text stays if both perplexities allow it, that of characters and that of recurring words. Trusted text is every document that labels marks quality 1. The thresholds of a language are margin times
+    the given quantile of its trusted documents' perplexities; slack is how many nats a text may exceed it. Texts without words go; texts in a language
     without trusted documents stay, as nothing is known against them. A null doc_id is scored and never trusted.
     """
     ids = labels.where("quality = 1").select("doc_id")
     p = staged(perplexities(docs, ids), "perplexity")
-    cut = p.join(ids.distinct(), "doc_id", "left_semi").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold"))
-    return p.join(cut, "lang", "left").select("doc_id", "lang", "n_symbols", "perplexity", "threshold", ((F.col("n_symbols") > 0) & F.coalesce(F.col("n_symbols") * F.log(F.col("perplexity") / F.col("threshold")) <= slack, F.lit(True))).alias("keep"))
+    cut = p.join(ids.distinct(), "doc_id", "left_semi").groupBy("lang").agg(*((F.percentile_approx(c, quantile, 10_000) * margin).alias(to) for c, to in (("perplexity", "threshold"), ("repetition", "repetition_threshold"))))
+    fits = lambda n, x, most: F.coalesce(F.col(n) * F.log(F.col(x) / F.col(most)) <= slack, F.lit(True))
+    keep = (F.col("n_symbols") > 0) & fits("n_symbols", "perplexity", "threshold") & fits("n_words", "repetition", "repetition_threshold")
+    return p.join(cut, "lang", "left").select("doc_id", "lang", "n_symbols", "perplexity", "threshold", "n_words", "repetition", "repetition_threshold", keep.alias("keep"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

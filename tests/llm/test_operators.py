@@ -254,3 +254,23 @@ def test_pipeline_stages_on_hard_rows(spark):
         out = corpus_pipeline.staged(stage(spark, d, DIR), name)
         assert out.count() > 0 and (name == "packing" or out.columns == d.columns)
         d = out
+
+
+@pytest.mark.parametrize("most", [quality.BROADCAST, 0])
+def test_quality_drops_texts_of_repeated_words(spark, monkeypatch, most):
+    perplexities = quality.perplexities
+    monkeypatch.setattr(quality, "perplexities", lambda docs, ids: perplexities(docs, ids, most))
+    d, labels = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet")
+    runs = ["The " * 200, "to " * 40 + "ening " * 40 + "the " * 40, "Thsh " * 30 + "of " * 30, "the of " * 100, "Und\n" * 5 + "Zqx " * 60]
+    few = ["The the.", "of of the", "the"]
+    more = spark.createDataFrame([(10_000 + i, t, "en") for i, t in enumerate(runs + few)], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.keep for r in quality.classify(d.select("doc_id", "text", "lang").unionByName(more), labels).collect()}
+    assert [got[10_000 + i] for i in range(len(runs + few))] == [False] * len(runs) + [True] * len(few)
+    good = [r.doc_id for r in labels.where("quality = 1").collect()]
+    assert np.mean([got[i] for i in good]) > 0.98
+
+
+def test_word_classes_do_not_cross_texts():
+    before, own = quality._classes(np.array([0, 0, 1, 0, 0, 2, 3, 4, 5, 6, 7, 8, 9, 2]), np.array([0, 4, 4, 14]))
+    assert own.tolist() == [4, 0, 4, 1, 4, 4, 4, 4, 4, 4, 4, 4, 4, 3]
+    assert before.tolist() == [5, 4, 0, 4, 5] + [4] * 9
