@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import WS, ascii_lower, table
 from .components import connected_components
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 CANONICAL = [r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*\bhref\s*=\s*["']([^"']+)["']""", r"""(?is)<link\b[^>]*\bhref\s*=\s*["']([^"']+)["'][^>]*\brel\s*=\s*["']?canonical\b"""]
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*["']?([^"'>\s]+)"""
+BASE = r"""(?is)<base\b[^>]*\shref\s*=\s*["']?([^"'>\s]+)"""
+ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 
 
 def host_of(url: Column) -> Column:
@@ -34,14 +39,34 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
     return F.coalesce(*fits, F.lit(None).cast("struct<rule:string,action:string>"))
 
 
+def node_of(url: Column) -> Column:
+    """The url with scheme and host A-Z lower-cased (user names are not), as equal nodes are compared."""
+    part = lambda i: F.regexp_extract(url, r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://)([^/?#]*@)?([^/?#]*)(.*)$", i)
+    return F.when(url.rlike(ABSOLUTE), F.concat(ascii_lower(part(1)), part(2), ascii_lower(part(3)), part(4))).otherwise(url)
+
+
+def _join(base: str, target: str) -> str:
+    try:
+        return urljoin(base, target)
+    except ValueError:
+        return ""
+
+
+def _resolved(url: pd.Series, base: pd.Series, target: pd.Series) -> pd.Series:
+    """Relative targets by the page's url and its base href; those that cannot be resolved are empty."""
+    return pd.Series([_join(_join(u, b or ""), t) if u is not None and t is not None else None for u, b, t in zip(url, base, target, strict=True)], dtype=object)
+
+
 def html_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): a page's url and the absolute url that its canonical link or its refresh names."""
+    """(a, b): a page's url and the url that its canonical link or its refresh names, resolved and as node_of has it."""
     h = F.col(html)
     canonical = F.coalesce(*(F.nullif(F.regexp_extract(h, p, 1), F.lit("")) for p in CANONICAL))
     low = F.lower(h)
     hit = pages.where(low.contains("canonical") | low.contains("refresh"))
-    both = hit.select(F.col(url).alias("a"), F.explode(F.array(canonical, F.nullif(F.regexp_extract(h, REFRESH, 1), F.lit("")))).alias("b"))
-    return both.where(F.col("a").isNotNull() & F.col("b").contains("://"))
+    both = hit.where(F.col(url).isNotNull()).select(F.col(url).alias("a"), F.regexp_extract(h, BASE, 1).alias("base"), F.explode(F.array(canonical, F.nullif(F.regexp_extract(h, REFRESH, 1), F.lit("")))).alias("t"))
+    both = both.withColumn("t", F.trim("t", F.lit(WS))).where("t <> ''")
+    b = F.when(F.col("t").rlike(ABSOLUTE), F.col("t")).otherwise(F.pandas_udf(_resolved, "string")("a", "base", "t"))
+    return both.select(node_of(F.col("a")).alias("a"), node_of(b).alias("b")).where(F.col("b").rlike(ABSOLUTE))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url: str = "url", html: str = "html", default: str = "allow") -> DataFrame:
@@ -50,15 +75,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: Dat
     A rule that fits a url decides it. Other urls follow their component under redirects (columns a and b,
     say from a crawl log) and the pages' own canonical links and refreshes: allow if a url in it is
     explicitly allowed, else block if one is blocked, else the default. A component's urls count whether
-    or not a page has them. Null urls have empty host and path and no component; repeated rows stay;
+    or not a page has them; links may be relative, and scheme and host are compared (and component given) in lower case. Null urls have empty host and path and no component; repeated rows stay;
     other columns of pages are ignored. rules: the policy, a list of some hundreds at most.
     """
     cols = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("u"))
     own = lambda d, u: d.withColumn("host", host_of(F.col(u))).withColumn("path", path_of(F.col(u))).withColumn("hit", rule_for(F.col("host"), F.col("path"), rules))
-    judged = own(cols, "u")
+    judged = own(cols, "u").withColumn("u", node_of(F.col("u")))
     edges = html_edges(pages, url, html)
     if redirects is not None:
-        edges = edges.unionAll(redirects.select(F.col("a"), F.col("b")))
+        edges = edges.unionAll(redirects.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")))
     if edges.isEmpty():
         judged = judged.withColumn("component", F.col("u")).withColumn("by", F.lit(None).cast("string"))
     else:

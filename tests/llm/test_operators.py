@@ -274,3 +274,16 @@ def test_word_classes_do_not_cross_texts():
     before, own = quality._classes(np.array([0, 0, 1, 0, 0, 2, 3, 4, 5, 6, 7, 8, 9, 2]), np.array([0, 4, 4, 14]))
     assert own.tolist() == [4, 0, 4, 1, 4, 4, 4, 4, 4, 4, 4, 4, 4, 3]
     assert before.tolist() == [5, 4, 0, 4, 5] + [4] * 9
+
+
+def test_url_filter_resolves_links_and_lower_cases_hosts(spark):
+    link, moved = '<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="0; url=%s">'
+    rows = [(1, "http://d.com/a/2", link % "//Example.NET/en/1"), (2, "http://d.com/b/3?q=1", moved % "../a/2"), (3, "HTTP://D.com/b/3?q=1", ""), (4, "http://e.com/p", '<base href="http://b.net/q/">' + link % "r"), (5, "http://f.com/p", '<base href="/s/">' + link % " t "), (6, "http://F.com/s/t", moved % "//x.net/y"), (7, "http://g.com/x", link % "http://[bad/"), (8, "http://h.com/x", link % "mailto:a@b.net"), (9, "nothing", link % "/rel"), (10, "http://U@I.com/X", link % "?z"), (11, "http://u@i.com/X", ""), (12, None, link % "/x"), (13, "http://j.com/x", link % "//[bad/")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: (r.verdict, r.component) for r in urlfilter.judge(pages, rules=[("allow", "example.net/en/"), ("block", "net/")], default="none").collect()}
+    assert len(got) == len(rows) and [got[i][0] for i in range(1, 7)] == ["allow"] * 3 + ["block"] * 3
+    assert got[2] == got[3] == got[1] and got[5][1] == got[6][1] and got[4][1] == "http://b.net/q/r"
+    assert [got[i][0] for i in range(7, 14)] == ["none"] * 7 and got[10][1] == "http://U@i.com/X" and got[11][1] == "http://u@i.com/X"
+    links = spark.createDataFrame([("http://K.com/", "http://z.NET/")], "a string, b string")
+    two = spark.createDataFrame([(1, "http://k.com/", ""), (2, "HTTP://K.COM/", "")], "page_id bigint, url string, html string")
+    assert [r.verdict for r in urlfilter.judge(two, redirects=links).collect()] == ["block", "block"]
