@@ -11,7 +11,8 @@ in one global order (most frequent shingles first) and stored as a trie, held as
 prefix lengths. A query walks it, keeps the partial overlap of the prefix that neighbours share, and leaves
 a subtree as soon as the overlap so far and the remaining lengths cannot reach the threshold, or when
 all that is left in it is already in the query's component. Groups of more than TILE sets are cut into tiles, and every
-pair of tiles is a task. No pairs within a component are listed, and no link between different sets is lost.
+pair of tiles is a task. What comes out is a spanning forest of links, so components only: sets already in a query's component are not compared,
+pairs within a component are not listed, links are not counted, and no link that would join two components is lost.
 """
 
 from __future__ import annotations
