@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,16 +20,53 @@ from pyspark.sql import functions as F
 WS = " \t\n\x0b\x0c\r"
 
 
+#: Rows and bytes of an Arrow batch at most: what a worker and the JVM hold of a text column at once follows them.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2048, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bounded(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH; a session that asks for smaller ones keeps them."""
+    for key, most in BATCH.items():
+        now = re.fullmatch(r"([1-9]\d*)b?", spark.conf.get(key))
+        if not now or int(now[1]) > most:
+            spark.conf.set(key, str(most))
+
+
+@lru_cache(1)
+def lean() -> None:
+    """In a Python worker: freed memory goes back to the system. Arrow allocates by malloc, large arrays are mapped one by one."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        for option in (-1, -3):  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD: fixed, where glibc would let them grow
+            ctypes.CDLL("libc.so.6").mallopt(option, 1 << 18)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow in bounded batches and lean workers."""
+
+    def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        yield from run(batches)
+
+    bounded(df.sparkSession)
+    return df.mapInArrow(worker, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the cluster's spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a folder is made and set.
+    Only where the session names none and runs in one process (tests) a folder is made and set; a cluster without
+    one is an error, as every executor would write to a disk of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="proseloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -34,12 +75,23 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df written as Parquet in the shared folder and read again: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def unstaged(df: DataFrame) -> None:
+    """Deletes what staged wrote; nothing may read df afterwards."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

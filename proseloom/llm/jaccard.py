@@ -8,9 +8,9 @@ signature that half of all documents share sends one row a task.
 
 Joining. Each coarse group comes together once, with one set for each class of equal sets. Its sets are put
 in one global order (most frequent shingles first) and stored as a trie, held as the sorted sequences and their common
-prefix lengths. A query walks it, keeps the partial overlap of the prefix that neighbours share, and leaves
-a subtree as soon as the overlap so far and the remaining lengths cannot reach the threshold, or when
-all that is left in it is already in the query's component. Groups of more than TILE sets are cut into tiles, and every
+prefix lengths. The rarest shingles, of which linked sets share one, lead a query to the subtrees that it walks; it keeps
+the partial overlap of the prefix that neighbours share, and leaves a subtree as soon as the overlap so far and
+the remaining lengths cannot reach the threshold, or when all that is left in it is already in the query's component. Groups of more than TILE sets are cut into tiles, and every
 pair of tiles is a task. What comes out is a spanning forest of links, so components only: sets already in a query's component are not compared,
 pairs within a component are not listed, links are not counted, and no link that would join two components is lost.
 """
@@ -20,21 +20,24 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, shingle_sets, staged, table
+from .common import bounded, lean, mapped, mix, shingle_sets, staged, table, unstaged
 from .components import UnionFind, connected_components
 
 #: Sets that one task joins with as many others, in groups too large for one task.
 TILE = 2048
-#: Documents to a target of signatures, about: an edge may be found in as many targets as its sets share signatures.
-PART = 24576
-#: Slices of a target's signatures, by their top bits; a task holds and sorts one at a time.
-SLICES = 8
+#: Documents to a target of signatures, about: a task holds and sorts one target at a time. An edge may be found in as
+#: many targets as its sets share signatures.
+PART = 8192
+#: Bytes of a signature that travel, besides its target. Signatures that agree in them by chance are candidates, no more.
+KEPT = 6
 #: Texts whose shingles a worker makes at once.
 ROWS = 512
 
@@ -45,20 +48,38 @@ def size_class(n: int, num: int, den: int) -> int:
 
 
 def ranges(cls: int, num: int, den: int) -> int:
-    """Ranges for sets of class cls and cls + 1: one more than the hashes in which linked ones may differ."""
+    """Ranges for sets of class cls and cls + 1: one more than the hashes in which linked ones may differ; for small sets
+    twice that, so that few of them leave so many ranges empty that nothing but emptiness may agree."""
     top = (den / num) ** (cls + 2)
-    return int(2 * top * (den - num) / (den + num) + 1e-6) + 1
+    k = int(2 * top * (den - num) / (den + num) + 1e-6) + 1
+    return 2 * k if k <= 16 else k
+
+
+@lru_cache(16)
+def small(num: int, den: int) -> tuple[int, int]:
+    """The largest set that differs from any linked one, no smaller than itself, in at most one hash; and the largest such partner."""
+    n = 1
+    while (n + 1 + (n + 1) * den // num) * (den - num) < 2 * (den + num):
+        n += 1
+    return n, n * den // num
 
 
 def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """The signatures of an ascending set of hashes, for both groups of classes in which it may meet others.
 
-    A set files its non-empty ranges. If they are more than the hashes in which any partner can differ, one
+    Small sets file themselves and themselves less each of their hashes: of two that differ in one hash, one is the other
+    less a hash. Other sets file their non-empty ranges. If those are more than the hashes in which any partner can differ, one
     of them is the partner's too; a set with too many empty ranges also files one signature for those.
     """
     out, n, grow = [], len(s), den / num
-    cls = size_class(n, num, den)
+    alone, both = small(num, den)
     with np.errstate(over="ignore"):
+        if n <= both:
+            x = mix(s)
+            out.append(mix(np.concatenate([[x.sum(dtype=np.uint64)], x.sum(dtype=np.uint64) - x])))
+        if n <= alone:
+            return out[0]
+        cls = size_class(n, num, den)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s), dtype=np.uint64)])
         for c, partner in ((cls - 1, min(n, grow**cls)), (cls, n * grow)):
             if c < 0:
@@ -83,8 +104,9 @@ def _route(n: int, num: int, den: int, parts: int):
     """Of a batch: each row's shingle count and digest, the signatures packed by target, and edges found here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # sets that this task has filed: equal ones are a class, which files once
         for b in batches:
-            sizes, digests, seen, sig, who = [], [], set(), [], []
+            sizes, digests, sig, who = [], [], [], []
             ids = b.column("doc_id").to_pylist()
             for i, s in zip(ids, _each_set(b, n), strict=True):
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
@@ -100,17 +122,17 @@ def _route(n: int, num: int, den: int, parts: int):
                 continue
             sig, who, edges = _stars(np.concatenate(sig), np.concatenate(who))
             yield _row(len(edges), a=pa.array(edges[:, 0]), b=pa.array(edges[:, 1]))
-            to = (sig % np.uint64(parts) * np.uint64(SLICES) + sig // np.uint64(2**64 // SLICES)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
+            to = (sig % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((who, to))
             full, cut = np.unique(to[order], return_index=True)
-            blobs = [np.stack([sig[o].view(np.int64), who[o]]).tobytes() for o in np.split(order, cut[1:])]
-            yield _row(len(full), part=pa.array(full // SLICES), slice=pa.array(full % SLICES), data=pa.array(blobs, pa.binary()))
+            blobs = [_packed(sig[o], who[o]) for o in np.split(order, cut[1:])]
+            yield _row(len(full), part=pa.array(full), data=pa.array(blobs, pa.binary()))
 
     return run
 
 
-SCHEMA = "doc_id bigint, n_shingles bigint, digest binary, a bigint, b bigint, part bigint, slice bigint, data binary"
-_TYPES = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "digest": pa.binary(), "a": pa.int64(), "b": pa.int64(), "part": pa.int64(), "slice": pa.int64(), "data": pa.binary()}
+SCHEMA = "doc_id bigint, n_shingles bigint, digest binary, a bigint, b bigint, part bigint, data binary"
+_TYPES = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "digest": pa.binary(), "a": pa.int64(), "b": pa.int64(), "part": pa.int64(), "data": pa.binary()}
 
 
 def _row(n: int, **cols: pa.Array) -> pa.RecordBatch:
@@ -127,27 +149,39 @@ def _stars(sig: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return sig[new], who[new], edges
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each target: a forest of edges between holders of equal signatures.
+def _packed(sig: np.ndarray, who: np.ndarray) -> bytes:
+    """Signatures and their holders, compressed; holders come in the order of the rows, so their differences are small."""
+    low = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEPT :]
+    step = np.diff(who, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(1).compress(low.T.tobytes() + step.T.tobytes())
 
-    Rows come ordered by target and slice, so that no more than one slice and the target's forest are held.
-    """
-    at, blobs, sets = (None, None), [], UnionFind()
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(KEPT + 8, -1)
+    sig = np.zeros((x.shape[1], 8), np.uint8)
+    sig[:, 8 - KEPT :] = x[:KEPT].T
+    return sig.view("<u8").ravel().astype(np.uint64), np.cumsum(np.ascontiguousarray(x[KEPT:].T).view("<i8").ravel())
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each target a forest of edges between holders of equal signatures; rows come ordered by target, of which one is held."""
+    at, blobs = None, []
     for b in batches:
         data = b.column("data")
-        for i, here in enumerate(zip(b.column("part").to_pylist(), b.column("slice").to_pylist(), strict=True)):
+        for i, here in enumerate(b.column("part").to_pylist()):
             if here != at:
-                yield from _forest(blobs, sets)
-                blobs, sets, at = [], sets if here[0] == at[0] else UnionFind(), here
+                yield from _forest(blobs)
+                blobs, at = [], here
             blobs.append(data[i].as_py())
-    yield from _forest(blobs, sets)
+    yield from _forest(blobs)
 
 
-def _forest(blobs: list[bytes], sets: UnionFind) -> Iterator[pa.RecordBatch]:
-    """The edges of one slice that join what was apart."""
+def _forest(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """The edges of one target that join what was apart."""
     if blobs:
-        x = np.concatenate([np.frombuffer(d, np.int64).reshape(2, -1) for d in blobs], axis=1)
-        _, _, e = _stars(x[0].view(np.uint64), x[1])
+        sig, who = (np.concatenate(x) for x in zip(*map(_unpacked, blobs), strict=True))
+        _, _, e = _stars(sig, who)
+        sets = UnionFind()
         e = e[[sets.join(a, b) for a, b in e.tolist()]] if len(e) else e
         yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
@@ -174,34 +208,50 @@ def trie_join(sets: list[np.ndarray], num: int, den: int, split: int = 0) -> lis
         k = min(len(a), len(b))
         d = np.flatnonzero(a[:k] != b[:k])
         lcp[i] = d[0] if len(d) else k
-    lcp_l, sizes = lcp.tolist(), [len(s) for s in seqs]
-    side = [int(i >= split) for i in order] if split else None
-    sets_of, links = UnionFind(), []
+    sizes = np.array([len(x) for x in seqs])
+    # A set that links shares one of the rarest tokens, so many that it cannot lack them all: they lead to its subtrees.
+    rarest = [x[(len(x) * num + den - 1) // den - 1 :] for x in seqs]
+    leaf = np.repeat(np.arange(m), [len(x) for x in rarest])
+    token = np.concatenate(rarest)
+    leaf, token = leaf[by := np.argsort(token, kind="stable")], token[by]
+    at = np.searchsorted(token, np.arange(len(tokens) + 1)).tolist()
+    side = np.array([i >= split for i in order]) if split else None
+    comp, links = np.arange(m), []
     mark = np.zeros(len(tokens), np.int64)
-    path = np.zeros(max(sizes) + 1, np.int64)
+    path = np.zeros(sizes.max() + 1, np.int64)
+    near = np.zeros(m, bool)
     for q in range(1, m):
-        nq, seq_q = sizes[q], seqs[q]
+        nq, seq_q = int(sizes[q]), seqs[q]
+        near[:] = False
+        for t in rarest[q].tolist():
+            near[leaf[at[t] : at[t + 1]]] = True
+        near[q:] = False
+        near &= (comp != comp[q]) & (sizes * den >= num * nq) & (nq * den >= num * sizes)
+        if side is not None:
+            near &= side != side[q]
+        found = np.flatnonzero(near)
+        if not len(found):
+            continue
+        shared = [0, *(np.minimum.reduceat(lcp[: found[-1] + 1], found[:-1] + 1).tolist() if len(found) > 1 else [])]
         mark[seq_q] = 1
         # A set links only with misses (tokens that the query lacks) up to this bound, which ends subtrees.
         bound = nq * (den - num) // num
-        root, valid, dead = sets_of.find(q), 0, -1
-        for i in range(q):
-            shared = lcp_l[i]
+        valid, dead = 0, -1
+        for i, common in zip(found.tolist(), shared, strict=True):
+            valid = min(valid, common)
             if dead >= 0:
-                if shared > dead:
+                if common > dead:
                     continue
                 dead = -1
-            valid = min(valid, shared)
-            n = sizes[i]
-            if n * den < num * nq or nq * den < num * n or (side and side[i] == side[q]) or sets_of.find(i) == root:
+            if comp[i] == comp[q]:
                 continue
             # path[d]: hits among the first d tokens; neighbours share the first `valid` of them.
+            n = int(sizes[i])
             path[valid + 1 : n + 1] = path[valid] + np.cumsum(mark[seqs[i][valid:]])
             was, valid = valid, n
             hits = int(path[n])
             if hits * (den + num) >= num * (n + nq):
-                sets_of.join(q, i)
-                root = sets_of.find(q)
+                comp[comp == comp[i]] = comp[q]
                 links.append((order[i], order[q]))
             elif n - hits > bound:
                 # The depth at which too much has been missed: no longer set below it has length enough left.
@@ -211,8 +261,9 @@ def trie_join(sets: list[np.ndarray], num: int, den: int, split: int = 0) -> lis
     return links
 
 
-def _join_groups(num: int, den: int):
+def _join_groups(words: int, num: int, den: int):
     def run(t: pa.Table) -> pa.Table:
+        lean()
         t = t.sort_by([("grp", "ascending"), ("x", "ascending"), ("y", "ascending"), ("left", "descending"), ("doc_id", "ascending")])
         ids, left = t.column("doc_id").to_numpy(), t.column("left").to_numpy().astype(bool)
         keys = np.stack([t.column(c).to_numpy() for c in ("grp", "x", "y")], axis=1)
@@ -222,22 +273,13 @@ def _join_groups(num: int, den: int):
             both = not left[a:b].all()
             if both and not left[a:b].any():
                 continue
-            sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").slice(a, b - a).to_pylist()]
+            sets = [s for at in range(a, b, ROWS) for s in shingle_sets(t.column("text").slice(at, min(ROWS, b - at)).combine_chunks(), words)]
             out += [(int(ids[a + i]), int(ids[a + j])) for i, j in trie_join(sets, num, den, int(left[a:b].sum()) if both else 0)]
         return pa.table({"a": pa.array([i for i, _ in out], pa.int64()), "b": pa.array([j for _, j in out], pa.int64())})
 
     return run
 
 
-def _sets(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = pa.array([s.tobytes() for s in _each_set(b, n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grp"), b.column("size"), sets], names=["doc_id", "grp", "size", "hashes"])
-
-    return run
-
-
 def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text; other columns are ignored).
 
@@ -248,23 +290,25 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     their 64-bit hashes are. No partner or candidate is capped.
     """
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    bounded(docs.sparkSession)
     parts = max(8, math.ceil(d.select("doc_id").count() / PART))
-    routed = staged(d.mapInArrow(_route(words, num, den, parts), SCHEMA), "routed")
-    rows = routed.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "digest")
-    met = routed.where("part IS NOT NULL").select("part", "slice", "data").repartition("part").sortWithinPartitions("part", "slice").mapInArrow(_meet, "a bigint, b bigint")
-    coarse = connected_components(met.unionAll(routed.where("a IS NOT NULL").select("a", "b")))
+    routed = staged(mapped(d, _route(words, num, den, parts), SCHEMA), "routed")
+    rows = staged(routed.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "digest"), "sizes")
+    met = mapped(routed.where("part IS NOT NULL").select("part", "data").repartition("part").sortWithinPartitions("part"), _meet, "a bigint, b bigint")
+    coarse = staged(connected_components(met.unionAll(routed.where("a IS NOT NULL").select("a", "b"))), "coarse")
+    unstaged(routed)
     # Equal sets are a class, which its smallest doc_id stands for.
     classes = staged(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     same = rows.join(classes.where("copies > 1"), "digest").where("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     grouped = staged(coarse.withColumnRenamed("node", "doc_id").join(rows, "doc_id").join(classes, "digest").groupBy("rep").agg(F.min("component").alias("grp")), "grouped")
     groups = grouped.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1")
     members = staged(grouped.join(groups, "grp").select(F.col("rep").alias("doc_id"), "grp", "size"), "members")
-    sets = members.join(d, "doc_id").select("doc_id", "grp", "size", "text").mapInArrow(_sets(words), "doc_id bigint, grp bigint, size bigint, hashes binary")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    dealt = sets.withColumn("t", F.pmod(F.xxhash64("doc_id"), tiles).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    dealt = dealt.select("doc_id", "grp", "hashes", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), (F.col("t") <= F.col("o")).cast("int").alias("left"))
+    dealt = members.join(d, "doc_id").withColumn("t", F.pmod(F.xxhash64("doc_id"), tiles).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    # Texts travel, not their hashes, which are longer and do not compress.
+    dealt = dealt.select("doc_id", "grp", "text", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), (F.col("t") <= F.col("o")).cast("int").alias("left"))
     buckets = max(parts, math.ceil(members.count() / 1024))
-    links = dealt.groupBy(F.pmod(F.xxhash64("grp", "x", "y"), F.lit(buckets)).alias("bucket")).applyInArrow(_join_groups(num, den), "a bigint, b bigint")
+    links = dealt.groupBy(F.pmod(F.xxhash64("grp", "x", "y"), F.lit(buckets)).alias("bucket")).applyInArrow(_join_groups(words, num, den), "a bigint, b bigint")
     final = connected_components(links.unionAll(same))
     return rows.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
