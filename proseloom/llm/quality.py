@@ -5,7 +5,9 @@ and of words never seen before are still scored; a document's perplexity is per
 all trusted text. Lower orders use continuation counts, every (language, order) has its own three discounts,
 and the tables are sharded by hash of (language, n-gram), where one join an order gives the probabilities of
 all distinct n-grams of the documents. Documents add them up: from a broadcast while their number is at most
-BROADCAST, which is counted first, and beyond it in compressed blocks that meet their n-grams in a join.
+BROADCAST, which is counted first, and beyond it in compressed blocks that meet their n-grams in a join; both add
+the same doubles in the same order, so the choice changes no figure. One trusted document in HELD is left out of
+the counts, and the quantiles are those of the documents left out.
 
 Across word boundaries a second model judges repetition, which likelihood alone rewards: each word's class is how far
 back the same word stands (1, 2, 3 to 4, 5 to 8, or no nearer), and a bigram of these classes, seen words or not, gives
@@ -18,16 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, split_words, staged, table
+from .common import mapped, mix, split_words, staged, table, unstaged
 
 #: Characters in an n-gram; documents handled at once; bits of the prefilter of trusted ids.
 ORDER, SLICE, FILTER_BITS = 5, 1024, 1 << 23
-#: Distinct n-grams whose probabilities are broadcast (12 bytes each); beyond that documents travel to them in blocks.
+#: Distinct n-grams whose probabilities are broadcast (16 bytes each); beyond that documents travel to them in blocks.
 BROADCAST = 4_000_000
+#: Keys of n-grams that a task remembers having named; it then starts anew. Languages whose few figures are broadcast.
+NAMED, LANGS = 1_000_000, 10_000
+#: One trusted document in HELD, by a hash of its id, is for the thresholds and not for the counts.
+HELD = 5
 #: A document stays if its perplexity is at most MARGIN times the QUANTILE of trusted text in its language, or if all
 #: its characters together exceed that by no more than SLACK nats: a few characters are no evidence.
 QUANTILE, MARGIN, SLACK = 0.99, 2.0, 12.0
@@ -129,38 +136,56 @@ def _open(blob: bytes) -> pa.Table:
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram): the distinct n-grams of each batch."""
+    """(lang, gram): the n-grams of each batch that the task has not named before, as far as it remembers."""
+    seen: dict[str, np.ndarray] = {}
     for b in batches:
-        found: dict[str, set[str]] = {}
-        for at in range(0, b.num_rows, SLICE):
-            part = b.slice(at, SLICE)
-            for lang, rows in _by_lang(part):
-                words, _, _ = split_words(part.column("text").take(pa.array(rows)), lower=False)
-                found.setdefault(lang, set()).update(_grams(_clean(words))[1].tolist())
-        for lang, grams in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(sorted(grams))], names=["lang", "gram"])
+        for lang, rows in _by_lang(b):
+            words, _, _ = split_words(b.column("text").take(pa.array(rows)), lower=False)
+            keys, grams, _ = _grams(_clean(words))
+            known = seen.get(lang, np.zeros(0, np.uint64))
+            at = np.searchsorted(known, keys)
+            fresh = (at == len(known)) | (known[np.minimum(at, len(known) - 1)] != keys) if len(known) else np.ones(len(keys), bool)
+            seen[lang] = np.insert(known, at[fresh], keys[fresh])
+            if sum(map(len, seen.values())) > NAMED:
+                seen.clear()
+            names = grams[fresh].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array(names, pa.string())], names=["lang", "gram"])
+
+
+def _sums(x: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The sum of each stretch between offsets, the same whatever stands beside it."""
+    full = np.flatnonzero(off[1:] > off[:-1])
+    out = np.zeros(len(off) - 1, x.dtype)
+    if len(full):
+        out[full] = np.add.reduceat(x[: off[-1]], off[full])
+    return out
+
+
+def _texts(docs) -> pa.Array:
+    """The texts of a table or batch, from the column text or from the rows that it carries."""
+    held = docs.column("text" if "text" in docs.schema.names else "row")
+    held = held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held
+    return held if "text" in docs.schema.names else pc.fill_null(pc.struct_field(held, "text"), "")
 
 
 def _summed(docs, log_of, classes: dict[str, np.ndarray]) -> pa.Table:
-    """The columns of _SCORED of a table or batch; log_of(lang, keys, grams) gives log probabilities."""
+    """The columns of _SCORED, and `row` if docs has it, of a table or batch; log_of(lang, keys, grams) gives log probabilities."""
     n, total = np.zeros(docs.num_rows, np.int64), np.zeros(docs.num_rows, np.float64)
     n_words, again = np.zeros(docs.num_rows, np.int64), np.zeros(docs.num_rows, np.float64)
+    texts = _texts(docs)
     for lang, rows in _by_lang(docs):
-        text = docs.column("text").take(pa.array(rows))
-        words, codes, off = split_words(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text, lower=False)
+        words, codes, off = split_words(texts.take(pa.array(rows)), lower=False)
         names = _clean(words)
         keys, grams, back = _grams(names)
+        if not len(keys):
+            continue
         each = np.array([len(w) + 1 for w in names], np.int64)
-        starts = np.concatenate([[0], np.cumsum(each)])
-        sums = np.concatenate([[0.0], np.cumsum(log_of(lang, keys, grams)[back])])
-        word = sums[starts[1:]] - sums[starts[:-1]]
-        tot, cnt = np.concatenate([[0.0], np.cumsum(word[codes])]), np.concatenate([[0], np.cumsum(each[codes])])
-        total[rows], n[rows] = tot[off[1:]] - tot[off[:-1]], cnt[off[1:]] - cnt[off[:-1]]
-        n_words[rows] = np.diff(off)
+        word = _sums(log_of(lang, keys, grams)[back], np.concatenate([[0], np.cumsum(each)]))
+        total[rows], n[rows], n_words[rows] = _sums(word[codes], off), _sums(each[codes], off), np.diff(off)
         if lang in classes:
-            run = np.concatenate([[0.0], np.cumsum(classes[lang][_classes(codes, off)])])
-            again[rows] = run[off[1:]] - run[off[:-1]]
-    return pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "n_symbols": pa.array(n), "log_prob": pa.array(total), "n_words": pa.array(n_words), "log_again": pa.array(again)}).cast(_SCORED)
+            again[rows] = _sums(classes[lang][_classes(codes, off)], off)
+    out = pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "n_symbols": pa.array(n), "log_prob": pa.array(total), "n_words": pa.array(n_words), "log_again": pa.array(again)}).cast(_SCORED)
+    return out.append_column("row", docs.column("row")) if "row" in docs.schema.names else out
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("log_prob", pa.float64()), ("n_words", pa.int64()), ("log_again", pa.float64())])
@@ -171,7 +196,7 @@ def _scorer(shared, classes: dict[str, np.ndarray]):
 
     def of(lang: str, keys: np.ndarray, grams: np.ndarray) -> np.ndarray:
         known, logp = shared.value[lang]
-        return logp[np.searchsorted(known, keys)].astype(np.float64)
+        return logp[np.searchsorted(known, keys)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,8 +221,9 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for block, blob in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True):
             docs = _open(blob)
+            texts = _texts(docs)
             for lang, rows in _by_lang(docs):
-                words, _, _ = split_words(docs.column("text").take(pa.array(rows)).combine_chunks(), lower=False)
+                words, _, _ = split_words(texts.take(pa.array(rows)), lower=False)
                 _, grams, _ = _grams(_clean(words))
                 for at in range(0, len(grams), 50_000):
                     part = grams[at : at + 50_000].tolist()
@@ -210,11 +236,11 @@ def _score(blobs: pa.Table, logs: pa.Table, classes: dict[str, np.ndarray]) -> p
     for a, g, p in zip(*(logs.column(c).to_pylist() for c in ("lang", "gram", "logp")), strict=True):
         known.setdefault(a, {})[g] = p
     of = lambda lang, keys, grams: np.array([known[lang][g] for g in grams.tolist()], np.float64)
-    return pa.concat_tables([_SCORED.empty_table(), *(_summed(_open(blob), of, classes) for blob in blobs.column("data").to_pylist())])
+    return pa.concat_tables([_summed(_open(blob), of, classes) for blob in blobs.column("data").to_pylist()])
 
 
 def _all_counts(trusted: DataFrame) -> DataFrame:
-    return trusted.mapInArrow(_count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return mapped(trusted, _count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def gram_counts(trusted: DataFrame) -> DataFrame:
@@ -277,22 +303,23 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, key, logp): n-grams by their hashes, so that the driver sees no strings."""
     for b in batches:
         keys = _key_of(np.array(b.column("gram").to_pylist(), f"<U{ORDER}"))
-        yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(keys.view(np.int64)), b.column("logp").cast(pa.float32())], names=["lang", "key", "logp"])
+        yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(keys.view(np.int64)), b.column("logp")], names=["lang", "key", "logp"])
 
 
 def _tables(logs: DataFrame):
-    """A broadcast of log probabilities, 12 bytes an n-gram, whose number the caller has checked."""
+    """A broadcast of log probabilities, 16 bytes an n-gram, whose number the caller has checked."""
     out = {}
     for lang in [r.lang for r in logs.select("lang").distinct().collect()]:
-        got = logs.where(F.col("lang") == lang).mapInArrow(_keyed, "lang string, key bigint, logp float").select("key", "logp").toArrow()
+        got = mapped(logs.where(F.col("lang") == lang), _keyed, "lang string, key bigint, logp double").select("key", "logp").toArrow()
         keys, logp = got.column("key").to_numpy().view(np.uint64), got.column("logp").to_numpy()
         order = np.argsort(keys)
         out[lang] = keys[order], logp[order]
     return logs.sparkSession.sparkContext.broadcast(out)
 
 
-def perplexities(docs: DataFrame, trusted_ids: DataFrame, most: int = BROADCAST) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, n_words, repetition for every row of docs (doc_id, text, lang; other columns ignored).
+def perplexities(docs: DataFrame, trusted_ids: DataFrame, most: int = BROADCAST, carry: bool = False) -> DataFrame:
+    """doc_id, lang, n_symbols, perplexity, n_words, repetition for every row of docs (doc_id, text, lang; other columns
+    ignored, or with carry the whole row as `row`).
 
     perplexity is per character, repetition the perplexity per word of the classes of recurring words.
 
@@ -302,36 +329,54 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, most: int = BROADCAST)
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     ids = trusted_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     slot, keep = _maybe(ids)
-    some = d.where("doc_id IS NOT NULL").withColumn("slot", slot).mapInArrow(keep, d.schema)
+    some = mapped(d.where("doc_id IS NOT NULL").withColumn("slot", slot), keep, d.schema)
     both = staged(_all_counts(some.join(ids, "doc_id", "left_semi")), "counts")
     counts, classes = both.where(~F.col("gram").endswith(BOS)), _class_logs(both.where(F.col("gram").endswith(BOS)))
     tables = kneser_ney(counts)
-    logs = staged(log_probs(d.select("lang", "text").mapInArrow(_distinct, "lang string, gram string").distinct(), tables), "logs")
+    logs = staged(log_probs(mapped(d.select("lang", "text"), _distinct, "lang string, gram string").distinct(), tables), "logs")
+    for pair in tables:
+        for t in pair:
+            unstaged(t)
     schema = "doc_id bigint, lang string, n_symbols bigint, log_prob double, n_words bigint, log_again double"
+    if carry:
+        d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+        schema += f", row {d.schema['row'].dataType.simpleString()}"
     if logs.count() <= most:
-        scored = d.mapInArrow(_scorer(_tables(logs), classes), schema)
+        scored = mapped(d, _scorer(_tables(logs), classes), schema)
     else:
-        blocks = staged(d.mapInArrow(_pack, "block bigint, data binary"), "blocks", "none")
-        named = blocks.mapInArrow(_named, "block bigint, lang string, gram string").join(logs, ["lang", "gram"])
+        blocks = staged(mapped(d, _pack, "block bigint, data binary"), "blocks", "none")
+        named = mapped(blocks, _named, "block bigint, lang string, gram string").join(logs, ["lang", "gram"])
         scored = blocks.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(lambda blobs, known: _score(blobs, known, classes), schema)
     langs = counts.groupBy("lang").agg(F.lit(True).alias("has_model"))
     per = lambda total, n: F.when((F.col(n) > 0) & F.col("has_model"), F.exp(-F.col(total) / F.col(n)))
-    return scored.join(langs, "lang", "left").select("doc_id", "lang", "n_symbols", per("log_prob", "n_symbols").alias("perplexity"), "n_words", per("log_again", "n_words").alias("repetition"))
+    return scored.join(few(langs), "lang", "left").select("doc_id", "lang", "n_symbols", per("log_prob", "n_symbols").alias("perplexity"), "n_words", per("log_again", "n_words").alias("repetition"), *(["row"] if carry else []))
+
+
+def few(per_lang: DataFrame) -> DataFrame:
+    """One row a language, marked for a broadcast where there are at most LANGS."""
+    return F.broadcast(per_lang) if per_lang.limit(LANGS + 1).count() <= LANGS else per_lang
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, slack: float = SLACK) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, slack: float = SLACK, trusted: Column | None = None, carry: bool = False) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold, n_words, repetition, repetition_threshold, keep: one row for each row of docs.
 
-    A text stays if both perplexities allow it, that of characters and that of recurring words. Trusted text is every document that labels marks quality 1. The thresholds of a language are margin times
-    the given quantile of its trusted documents' perplexities; slack is how many nats a text may exceed it. Texts without words go; texts in a language
-    without trusted documents stay, as nothing is known against them. A null doc_id is scored and never trusted.
+    A text stays if both perplexities allow it, that of characters and that of recurring words. Trusted text is every
+    document that labels marks quality 1 (and, if given, for which the condition `trusted` on doc_id holds). The
+    thresholds of a language are margin times the given quantile of the perplexities of its trusted documents that
+    are held out of the counts, or of all its trusted ones where none is; slack is how many nats a text may exceed it,
+    and exactly that much is kept. Texts without words go; texts in a language without trusted documents stay, as
+    nothing is known against them. With carry the whole row of docs is returned as `row`. A null doc_id is scored and never trusted; rows that repeat a doc_id are judged
+    each, and an id is trusted if any label says so. An empty table gives an empty result; other columns are ignored.
     """
-    ids = labels.where("quality = 1").select("doc_id")
-    p = staged(perplexities(docs, ids), "perplexity")
-    cut = p.join(ids.distinct(), "doc_id", "left_semi").groupBy("lang").agg(*((F.percentile_approx(c, quantile, 10_000) * margin).alias(to) for c, to in (("perplexity", "threshold"), ("repetition", "repetition_threshold"))))
+    ids = labels.where("quality = 1").where(F.lit(True) if trusted is None else trusted).select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    held = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(HELD)) == 0
+    p = staged(perplexities(docs, ids.where(~held), carry=carry), "perplexity")
+    named = (("perplexity", "threshold"), ("repetition", "repetition_threshold"))
+    of = lambda c, when: F.percentile_approx(F.when(when, F.col(c)), quantile, 10_000)
+    cut = p.join(ids, "doc_id", "left_semi").groupBy("lang").agg(*((F.coalesce(of(c, held), of(c, F.lit(True))) * margin).alias(to) for c, to in named))
     fits = lambda n, x, most: F.coalesce(F.col(n) * F.log(F.col(x) / F.col(most)) <= slack, F.lit(True))
     keep = (F.col("n_symbols") > 0) & fits("n_symbols", "perplexity", "threshold") & fits("n_words", "repetition", "repetition_threshold")
-    return p.join(cut, "lang", "left").select("doc_id", "lang", "n_symbols", "perplexity", "threshold", "n_words", "repetition", "repetition_threshold", keep.alias("keep"))
+    return p.join(few(staged(cut, "thresholds")), "lang", "left").select("doc_id", "lang", "n_symbols", "perplexity", "threshold", "n_words", "repetition", "repetition_threshold", keep.alias("keep"), *(["row"] if carry else []))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
