@@ -7,32 +7,35 @@ a few kB; every document is then scored in one pass without a shuffle.
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import mapped, staged, table
 
-#: Labelled rows used at most; entries of the lexicon at most; lengths of word beginnings that may enter it.
-SAMPLE, ENTRIES, PREFIXES = 30_000, 600, (4, 5, 6, 7, 8)
+#: Labelled rows used at most; lengths of word beginnings that may enter the lexicon.
+SAMPLE, PREFIXES = 30_000, (4, 5, 6, 7, 8)
 #: A beginning enters if it is in this share of toxic rows (and in 2), and there this many times as often.
 SHARE, RATIO = 0.006, 15.0
 THRESHOLD = 0.3
 #: Words that address the reader, in the languages of the corpus.
 SECOND_PERSON = ("you", "your", "yours", "yourself", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "sie", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "vos", "ti", "tus", "usted", "ustedes", "vosotros", "vuestro")
 NAMES = ("hits_per_word", "hits", "weight_per_word", "weight", "strongest", "kinds", "you_near_hit", "you_per_word", "capitals", "punctuation", "obfuscated", "stretched", "log_words")
-WORD = regex.compile(r"[^\W_]+")
-ODD = regex.compile(r"(?<![^\W_])[^\W\d_]+[0-9@$*!|]+[^\W\d_]+")
-LONG = regex.compile(r"([^\W\d_])\1\1")
-CAPS = regex.compile(r"\p{Lu}")
-MARK = regex.compile(r"[\p{P}\p{S}]")
-YOU = regex.compile(r"(?<![^\W_])(?:" + "|".join(SECOND_PERSON) + r")(?![^\W_])")
+PERSONS = frozenset(SECOND_PERSON)
+YOU = re.compile(r"(?<![^\W_])(?:" + "|".join(SECOND_PERSON) + r")(?![^\W_])")
+#: Signs that stand for letters in disguised words.
+SIGNS = "0123456789@$*!|"
+#: Classes of code points, as bits.
+UPPER, PUNCTUATION, LETTER, WORD, SIGN = 1, 2, 4, 8, 16
 #: Characters between a word of address and a lexicon hit that still count as near.
 NEAR = 40
 
@@ -46,6 +49,41 @@ def automaton(lexicon: dict[str, float]):
     return a
 
 
+@lru_cache(1)
+def classes() -> np.ndarray:
+    """The classes of every code point."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    for i in range(len(out)):
+        c = chr(i)
+        kind = unicodedata.category(c)
+        out[i] = (UPPER if kind == "Lu" else 0) | (PUNCTUATION if kind[0] in "PS" else 0) | (LETTER if c.isalpha() else 0) | (WORD if c.isalnum() else 0) | (SIGN if c in SIGNS else 0)
+    return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def disguised(codes: np.ndarray, kind: np.ndarray) -> int:
+    """Runs of signs that stand between two letters."""
+    sign = np.flatnonzero(kind & SIGN)
+    if not len(sign):
+        return 0
+    new = np.concatenate([[True], np.diff(sign) > 1])
+    first, last = sign[new], sign[np.concatenate([new[1:], [True]])]
+    inner = (first > 0) & (last < len(codes) - 1)
+    return int(((kind[first[inner] - 1] & LETTER) & (kind[last[inner] + 1] & LETTER) > 0).sum())
+
+
+def stretched(codes: np.ndarray, kind: np.ndarray) -> int:
+    """How often a letter stands three times in a row, each letter counted once."""
+    if len(codes) < 3 or not ((codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2])).any():
+        return 0
+    ends = np.flatnonzero(np.concatenate([codes[1:] != codes[:-1], [True]]))
+    size = np.diff(np.concatenate([[-1], ends]))
+    return int((size // 3)[(kind[ends] & LETTER) > 0].sum())
+
+
 def features(text: str, lexicon) -> list[float]:
     """The dense features of one whole text, in the order of NAMES; an empty text gives zeros."""
     low = text.lower()
@@ -58,15 +96,19 @@ def features(text: str, lexicon) -> list[float]:
                 at[start] = max(weight, at.get(start, 0.0))
                 kinds.add(low[start : start + PREFIXES[0]])
     hits, weight = sorted(at), sum(at.values())
-    words = low.count(" ") + low.count("\n") + 1 if low.strip() else 0
-    you = [m.start() for m in YOU.finditer(low)]
+    raw, codes = _codes(text), _codes(low)
+    kind, upper = classes()[codes], classes()[raw]
+    # Words are what white space or any sign but letters and digits divides.
+    n_you = sum(map(PERSONS.__contains__, np.where(kind & WORD, codes, 32).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split()))
     near, k = 0, 0
-    for y in you:
+    for y in (m.start() for m in YOU.finditer(low)) if hits and n_you else ():
         while k < len(hits) and hits[k] < y - NEAR:
             k += 1
         near += k < len(hits) and hits[k] <= y + NEAR
+    words = low.count(" ") + low.count("\n") + 1 if low.strip() else 0
     n, c = max(words, 1), max(len(text), 1)
-    return [len(hits) / n, float(len(hits)), weight / n, weight, max(at.values(), default=0.0), float(len(kinds)), near / n, len(you) / n, sum(1 for _ in CAPS.finditer(text)) / c, sum(1 for _ in MARK.finditer(text)) / c, sum(1 for _ in ODD.finditer(low)) / n, sum(1 for _ in LONG.finditer(low)) / n, float(np.log1p(words))]
+    share = lambda bit: int(np.count_nonzero(upper & bit)) / c
+    return [len(hits) / n, float(len(hits)), weight / n, weight, max(at.values(), default=0.0), float(len(kinds)), near / n, n_you / n, share(UPPER), share(PUNCTUATION), disguised(codes, kind) / n, stretched(codes, kind) / n, float(np.log1p(words))]
 
 
 @dataclass
@@ -177,7 +219,11 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """labels: doc_id, toxic. Rows with a null in either are left out; so are held-out rows, by the caller's filter."""
+    """labels: doc_id, toxic. Rows with a null in either are left out; so are held-out rows, by the caller's filter.
+
+    An id with several labels is toxic if one of them says so; rows of docs that repeat an id are used each. Without
+    rows, or with one class only, every text gets the same score. The lexicon holds every beginning that SHARE and RATIO admit.
+    """
     some = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)))
     rows = staged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id"), "labelled")
@@ -187,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     t, n = float(total.t or 0), float(total.n or 0)
     seen = first.select("toxic", F.explode(starts).alias("w")).groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("n"))
     ratio = ((F.col("t") + 0.1) / (t + 1)) / ((F.col("n") + 0.1) / (n + 1))
-    found = seen.where((F.col("t") >= max(2.0, SHARE * t)) & (ratio >= RATIO)).orderBy((F.col("t") * F.log(ratio)).desc(), "w").limit(ENTRIES)
+    found = seen.where((F.col("t") >= max(2.0, SHARE * t)) & (ratio >= RATIO))
     lexicon = {r.w: r.weight for r in found.select("w", (F.log(ratio) * F.col("t") / (F.col("t") + 3)).alias("weight")).collect()}
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("toxic").cast(pa.int32()), b.column("part").cast(pa.int64()), b.column("doc_id")], names=["x", "toxic", "part", "doc_id"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    got = rows.where("part >= 4").mapInArrow(numbers, f"x array<double>, toxic int, part bigint, doc_id {kind}").toPandas().sort_values("doc_id")
+    got = mapped(rows.where("part >= 4"), numbers, f"x array<double>, toxic int, part bigint, doc_id {kind}").toPandas().sort_values("doc_id")
     x = np.array(got.x.tolist(), np.float64).reshape(len(got), len(NAMES))
     y, grow = got.toxic.to_numpy(np.float64), (got.part < 8).to_numpy(bool)
     trees = boost(x[grow], y[grow])
@@ -205,7 +251,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text, any others) with score and predicted; null and empty texts are scored as empty."""
+    """__row (all of docs' columns as a struct) and __score of every row of docs, repeated and null ids too.
+
+    docs: text and any others, whatever their names. Null and empty texts are scored as empty; a text's score depends
+    on nothing but the text. An empty table gives an empty result.
+    """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)
 
@@ -216,7 +266,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("text").alias("__text"))
     kind = packed.schema["__row"].dataType.simpleString()
-    scored = packed.mapInArrow(run, f"__row {kind}, __score double")
+    scored = mapped(packed, run, f"__row {kind}, __score double")
     return scored
 
 
