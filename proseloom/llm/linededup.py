@@ -2,9 +2,10 @@
 
 State, all in the shared folder: postings (key, doc_id), one row for each line key and document that
 holds it; refs (key, n_docs, first_doc), its exact reference counts; filters (shard, table), a cuckoo filter
-of each shard's keys. An insertion asks the filters first: keys they do not know are new and skip the
-exact table. A deletion takes the documents' postings away, recounts the keys concerned and takes keys
-without holders out of the filters.
+of each shard's keys. The number of shards follows the number of keys, which is counted first. An insertion asks the
+filters: keys they do not know are new and skip the exact table, the others are looked up and recounted there; then
+the new keys, and only they, enter the filters. A deletion takes the documents' postings away, recounts the
+keys concerned and takes keys without holders out of the filters.
 """
 
 from __future__ import annotations
@@ -18,21 +19,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, mix, staged, table
+from .common import WS, mapped, mix, staged, table
 
 #: Code points below which a line is never dropped; keys to a filter shard, about.
 LEAST, SHARD_KEYS = 10, 100_000
 SLOTS, KICKS = 4, 500
-#: Documents with a null doc_id count as one document after all others.
+#: Documents with a null doc_id count as one document after all others, with this id, the largest there is.
 LAST = 2**63 - 1
+#: Into how many insertions the query deals its documents.
+BATCHES = 2
 
 
 class Cuckoo:
-    """A cuckoo filter of 16-bit fingerprints, four to a bucket; a power of two of buckets; it grows by rebuilding."""
+    """A cuckoo filter of 16-bit fingerprints, four to a bucket; a power of two of buckets. Fingerprints that found no place
+    in KICKS moves are kept with their bucket in a stash, which is searched too, so no insertion fails."""
 
     def __init__(self, capacity: int, data: bytes | None = None) -> None:
-        n = 1 << max(2, math.ceil(math.log2(max(1, capacity) / SLOTS / 0.85)))
-        self.t = np.zeros((n, SLOTS), np.uint16) if data is None else np.frombuffer(data, np.uint16).reshape(-1, SLOTS).copy()
+        self.stash: list[tuple[int, int]] = []
+        if data is None:
+            self.t = np.zeros((1 << max(2, math.ceil(math.log2(max(1, capacity) / SLOTS / 0.85))), SLOTS), np.uint16)
+        else:
+            n = int.from_bytes(data[:8], "little")
+            self.t = np.frombuffer(data, np.uint16, n * SLOTS, 8).reshape(-1, SLOTS).copy()
+            self.stash = [tuple(x) for x in np.frombuffer(data, np.int64, offset=8 + n * SLOTS * 2).reshape(-1, 2).tolist()]
 
     def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """keys: 64-bit hashes. Fingerprints (never 0) and the two buckets of each."""
@@ -46,10 +55,12 @@ class Cuckoo:
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
         f, i, j = self._places(keys)
-        return ((self.t[i] == f[:, None]) | (self.t[j] == f[:, None])).any(axis=1)
+        found = ((self.t[i] == f[:, None]) | (self.t[j] == f[:, None])).any(axis=1)
+        for x, at in self.stash:
+            found |= (f == x) & ((i == at) | (j == at))
+        return found
 
-    def insert(self, keys: np.ndarray) -> bool:
-        """False if a key found no place: the caller rebuilds at twice the size."""
+    def insert(self, keys: np.ndarray) -> None:
         f, i, j = self._places(keys)
         rng = np.random.default_rng(len(keys))
         n = len(self.t)
@@ -70,9 +81,8 @@ class Cuckoo:
                         t[at][t[at].index(0)] = x
                         break
                 else:
-                    return False
+                    self.stash.append((x, at))
         self.t = np.array(t, np.uint16)
-        return True
 
     def delete(self, keys: np.ndarray) -> None:
         """Only keys that were inserted may be deleted."""
@@ -82,9 +92,11 @@ class Cuckoo:
                 if len(hit):
                     self.t[at, hit[0]] = 0
                     break
+            else:
+                self.stash.remove((x, a) if (x, a) in self.stash else (x, b))
 
     def data(self) -> bytes:
-        return self.t.tobytes()
+        return len(self.t).to_bytes(8, "little") + self.t.tobytes() + np.array(self.stash, np.int64).tobytes()
 
 
 def line_key(line: str) -> bytes | None:
@@ -115,15 +127,12 @@ def _probe(filters: pa.Table, keys: pa.Table) -> pa.Table:
 
 
 def _grown(filters: pa.Table, keys: pa.Table) -> pa.Table:
-    """Of one shard: the filter of all its keys (new ones in `key`, all of them in refs where it must grow)."""
-    h = _hashes(keys.column("key"))
-    room = len(h)
-    while True:
-        f = Cuckoo(room)
-        if f.insert(h):
-            break
-        room *= 2
-    shard = keys.column("shard")[0].as_py()
+    """Of one shard: its filter with the new keys."""
+    old = filters.column("table").to_pylist()
+    f = Cuckoo(SHARD_KEYS * 5 // 4, old[0] if old else None)
+    if keys.num_rows:
+        f.insert(_hashes(keys.column("key")))
+    shard = (keys if keys.num_rows else filters).column("shard")[0].as_py()
     return pa.table({"shard": pa.array([shard], pa.int64()), "table": pa.array([f.data()], pa.binary())})
 
 
@@ -153,11 +162,12 @@ class LineDedup:
     """The state of an incremental line dedup. insert and delete take documents in and out in any order;
     apply gives documents without the lines that the state says an earlier document holds."""
 
-    def __init__(self, spark: SparkSession, shards: int = 64) -> None:
+    def __init__(self, spark: SparkSession, shards: int = 8) -> None:
         self.shards = shards
         self.postings = spark.createDataFrame([], "key binary, doc_id bigint")
         self.refs = spark.createDataFrame([], "key binary, n_docs bigint, first_doc bigint")
         self.filters = spark.createDataFrame([], "shard bigint, table binary")
+        self.n_keys = 0
 
     def _sharded(self, keys: DataFrame) -> DataFrame:
         return keys.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("bigint"))
@@ -166,30 +176,38 @@ class LineDedup:
     def _counted(postings: DataFrame) -> DataFrame:
         return postings.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
+    def _fill(self, filters: DataFrame, keys: DataFrame) -> None:
+        self.filters = staged(filters.groupBy("shard").cogroup(self._sharded(keys.select("key")).groupBy("shard")).applyInArrow(_grown, "shard bigint, table binary"), "filters")
+
     def insert(self, docs: DataFrame) -> None:
         """docs: doc_id, text; other columns are ignored. A document inserted twice counts once."""
         new = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        new = staged(new.mapInArrow(_postings, "key binary, doc_id bigint").distinct(), "postings")
-        first = self.refs.isEmpty()
-        batch = self._sharded(self._counted(new))
-        asked = staged(self.filters.groupBy("shard").cogroup(batch.groupBy("shard")).applyInArrow(_probe, "key binary, n_docs bigint, first_doc bigint, shard bigint, maybe boolean"), "asked")
-        if first:
-            self.postings, self.refs = new, asked.select("key", "n_docs", "first_doc")
-        else:
-            old = asked.where("maybe").join(self.postings, "key").select("key", self.postings.doc_id)
-            both = self._counted(old.unionAll(new.join(asked.where("maybe").select("key"), "key", "left_semi").select("key", "doc_id")).distinct())
-            fresh = asked.where("NOT maybe").select("key", "n_docs", "first_doc")
-            same = self.refs.join(asked.where("maybe").select("key"), "key", "left_anti").select("key", "n_docs", "first_doc")
-            self.refs = staged(fresh.unionAll(both).unionAll(same), "refs")
-            self.postings = staged(self.postings.unionAll(new).distinct(), "postings")
-        self._rebuild()
-
-    def _rebuild(self) -> None:
-        n = self.refs.count()
-        self.shards = max(self.shards, math.ceil(n / SHARD_KEYS))
-        keys = self._sharded(self.refs.select("key"))
-        none = keys.sparkSession.createDataFrame([], "shard bigint, table binary")
-        self.filters = staged(none.groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(_grown, "shard bigint, table binary"), "filters")
+        new = staged(mapped(new, _postings, "key binary, doc_id bigint").distinct(), "postings")
+        batch = staged(self._counted(new), "batch")
+        n_new = batch.count()
+        none = self.filters.limit(0)
+        if self.n_keys + n_new > self.shards * SHARD_KEYS:
+            # More shards: all filters are dealt anew. Doubling at least keeps this rare.
+            self.shards = max(2 * self.shards, math.ceil((self.n_keys + n_new) / SHARD_KEYS))
+            if self.n_keys:
+                self._fill(none, self.refs)
+        if not self.n_keys:
+            self.postings, self.refs, self.n_keys = new, batch, n_new
+            self._fill(none, batch)
+            return
+        asked = self._sharded(batch)
+        asked = staged(self.filters.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_probe, "key binary, n_docs bigint, first_doc bigint, shard bigint, maybe boolean"), "asked")
+        maybe = asked.where("maybe").select("key")
+        old = self.postings.join(maybe, "key", "left_semi").select("key", "doc_id")
+        both = self._counted(old.unionAll(new.join(maybe, "key", "left_semi").select("key", "doc_id")).distinct())
+        fresh = asked.where("NOT maybe").select("key", "n_docs", "first_doc")
+        same = self.refs.join(maybe, "key", "left_anti").select("key", "n_docs", "first_doc")
+        # Keys that a filter took for known though no document holds them are new as well.
+        add = staged(fresh.select("key").unionAll(maybe.join(self.refs.select("key"), "key", "left_anti")), "fresh")
+        self.refs = staged(fresh.unionAll(both).unionAll(same), "refs")
+        self.postings = staged(self.postings.unionAll(new).distinct(), "postings")
+        self.n_keys += add.count()
+        self._fill(self.filters, add)
 
     def delete(self, doc_ids: DataFrame) -> None:
         """doc_ids: doc_id. Unknown ids change nothing."""
@@ -200,13 +218,15 @@ class LineDedup:
         refs = staged(self.refs.join(gone, "key", "left_anti").unionAll(again), "refs")
         lost = self._sharded(staged(self.refs.select("key").join(refs.select("key"), "key", "left_anti"), "lost"))
         self.filters = staged(self.filters.groupBy("shard").cogroup(lost.groupBy("shard")).applyInArrow(_without, "shard bigint, table binary"), "filters")
-        self.postings, self.refs = left, refs
+        self.postings, self.refs, self.n_keys = left, refs, refs.count()
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """Every row of docs with n_lines, n_dropped, kept_sha256 and kept_text added.
 
         A line goes if at least two documents of the state hold its key and the smallest of them is not
-        the row's. Null or empty text is one empty line. docs must have been inserted.
+        the row's. Null or empty text is one empty line. docs must have been inserted. Rows that repeat a doc_id are
+        one document of all their lines, and each is returned; null ids, and the id 2^63-1, are one document
+        after all others. An empty table gives an empty result.
         """
         many = self.refs.where("n_docs >= 2").select("key", "first_doc")
         drop = self.postings.join(many, "key").where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_set("key").alias("drop")).withColumnRenamed("doc_id", "eff")
@@ -215,17 +235,19 @@ class LineDedup:
         # The row is packed after the join, so that its text is shuffled once.
         d = docs.select(row).withColumn("eff", F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(LAST)))
         rows = d.join(drop, "eff", "left").select(F.col("row.doc_id").cast("bigint").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"), "drop", "row")
-        return rows.mapInArrow(_rewrite, f"doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string, kept_text string, row {kind}")
+        return mapped(rows, _rewrite, f"doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string, kept_text string, row {kind}")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All of docs inserted in a fresh state, and the state applied to them."""
+def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """docs inserted in a fresh state in so many batches, by a hash of doc_id, and the state applied to all of them."""
     state = LineDedup(docs.sparkSession)
-    state.insert(docs)
+    for i in range(batches):
+        state.insert(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(batches)) == i))
     return state.apply(docs)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that stay of every document; see LineDedup.apply for nulls, repeats, ties and empty tables."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
