@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, table
+from .common import WS, ascii_lower, staged, table
 from .components import connected_components
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -16,6 +16,10 @@ CANONICAL = [r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*\bhref\s*=\s*
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*["']?([^"'>\s]+)"""
 BASE = r"""(?is)<base\b[^>]*\shref\s*=\s*["']?([^"'>\s]+)"""
 ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+#: What makes no other page: names of tracking parameters, host prefixes, index pages and slashes at the end.
+TRACKING = r"[?&](?:utm_[^=&]*|ref|gclid|fbclid)=[^&]*"
+ENDS = r"(?s)^([^?]*?)(?:/index\.html?)?/*(\?.*)?$"
+FRONT = r"(?s)^[a-z][a-z0-9+.-]*://(?:www\.|m\.)?(.*)$"
 
 
 def host_of(url: Column) -> Column:
@@ -45,6 +49,22 @@ def node_of(url: Column) -> Column:
     return F.when(url.rlike(ABSOLUTE), F.concat(ascii_lower(part(1)), part(2), ascii_lower(part(3)), part(4))).otherwise(url)
 
 
+def canonical_of(node: Column) -> Column:
+    """The url that a node (as node_of has it) redirects to by convention: http, no www. or m., no fragment, no tracking
+    parameters, no index page and no slashes at the end. Null for what is no absolute url."""
+    bare = F.regexp_replace(node, r"(?s)#.*$", "")
+    cut = F.regexp_replace(bare, TRACKING, "")
+    cut = F.when(F.contains(bare, F.lit("?")) & ~F.contains(cut, F.lit("?")), F.regexp_replace(cut, r"(?s)^([^&]*)&", "$1?")).otherwise(cut)
+    ended = F.regexp_replace(cut, ENDS, "$1$2")
+    return F.when(node.rlike(ABSOLUTE) & ended.rlike(FRONT), F.concat(F.lit("http://"), F.regexp_extract(ended, FRONT, 1)))
+
+
+def alias_edges(urls: DataFrame, url: str = "url") -> DataFrame:
+    """(a, b): each distinct url, as node_of has it, and the url that canonical_of gives, where they differ."""
+    a = urls.select(node_of(F.col(url)).alias("a")).where("a IS NOT NULL").distinct()
+    return a.select("a", canonical_of(F.col("a")).alias("b")).where("a <> b")
+
+
 def _join(base: str, target: str) -> str:
     try:
         return urljoin(base, target)
@@ -69,11 +89,12 @@ def html_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return both.select(node_of(F.col("a")).alias("a"), node_of(b).alias("b")).where(F.col("b").rlike(ABSOLUTE))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url: str = "url", html: str = "html", default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url: str = "url", html: str = "html", default: str = "allow", aliases: bool = True) -> DataFrame:
     """page_id, host, path, rule, verdict, component for every row of pages.
 
     A rule that fits a url decides it. Other urls follow their component under redirects (columns a and b,
-    say from a crawl log) and the pages' own canonical links and refreshes: allow if a url in it is
+    say from a crawl log), the pages' own canonical links and refreshes and, with aliases, the redirects by convention
+    that canonical_of states: allow if a url in it is
     explicitly allowed, else block if one is blocked, else the default. A component's urls count whether
     or not a page has them; links may be relative, and scheme and host are compared (and component given) in lower case. Null urls have empty host and path and no component; repeated rows stay;
     other columns of pages are ignored. rules: the policy, a list of some hundreds at most.
@@ -83,14 +104,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: Dat
     judged = own(cols, "u").withColumn("u", node_of(F.col("u")))
     edges = html_edges(pages, url, html)
     if redirects is not None:
-        edges = edges.unionAll(redirects.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")))
-    if edges.isEmpty():
-        judged = judged.withColumn("component", F.col("u")).withColumn("by", F.lit(None).cast("string"))
-    else:
-        nodes = own(connected_components(edges), "node")
-        by = nodes.groupBy("component").agg(F.max((F.col("hit.action") == "allow").cast("int")).alias("ok"), F.max((F.col("hit.action") == "block").cast("int")).alias("bad"))
-        of = nodes.select("node", "component").join(by, "component").select(F.col("node").alias("u"), "component", F.when(F.col("ok") == 1, "allow").when(F.col("bad") == 1, "block").alias("by"))
-        judged = judged.join(of, "u", "left").withColumn("component", F.coalesce("component", "u"))
+        given = redirects.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b"))
+        edges = edges.unionAll(given)
+    if aliases:
+        edges = edges.unionAll(alias_edges(pages.select(F.col(url).alias("url"))))
+        if redirects is not None:
+            edges = edges.unionAll(alias_edges(given.select(F.explode(F.array("a", "b")).alias("url"))))
+    nodes = own(staged(connected_components(edges), "nodes"), "node")
+    by = nodes.groupBy("component").agg(F.max((F.col("hit.action") == "allow").cast("int")).alias("ok"), F.max((F.col("hit.action") == "block").cast("int")).alias("bad"))
+    of = nodes.select("node", "component").join(by, "component").select(F.col("node").alias("u"), "component", F.when(F.col("ok") == 1, "allow").when(F.col("bad") == 1, "block").alias("by"))
+    judged = judged.join(of, "u", "left").withColumn("component", F.coalesce("component", "u"))
     return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.action"), F.col("by"), F.lit(default)).alias("verdict"), "component")
 
 
@@ -101,16 +124,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HOST = r"CASE WHEN instr({u}, '://') > 0 THEN translate(regexp_extract(substring({u}, instr({u}, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
 _PATH = r"CASE WHEN instr({u}, '://') > 0 THEN regexp_extract(substring({u}, instr({u}, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
 _RULE = "CASE " + " ".join(f"WHEN (host = '{r[: r.index('/')]}' OR host LIKE '%.{r[: r.index('/')]}') AND starts_with(path, '{r[r.index('/') :]}') THEN '{a} {r}'" for a, r in sorted(RULES, key=lambda x: (-len(x[1]), x[0]))) + " END"
+_NODE = r"CASE WHEN regexp_matches({u}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN lower(regexp_extract({u}, '(?s)^([A-Za-z][A-Za-z0-9+.-]*://)([^/?#]*@)?([^/?#]*)(.*)$', 1)) || regexp_extract({u}, '(?s)^([A-Za-z][A-Za-z0-9+.-]*://)([^/?#]*@)?([^/?#]*)(.*)$', 2) || translate(regexp_extract({u}, '(?s)^([A-Za-z][A-Za-z0-9+.-]*://)([^/?#]*@)?([^/?#]*)(.*)$', 3), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract({u}, '(?s)^([A-Za-z][A-Za-z0-9+.-]*://)([^/?#]*@)?([^/?#]*)(.*)$', 4) ELSE {u} END"
 _C0, _C1, _R = (p.replace("(?is)", "").replace("'", "''") for p in (*CANONICAL, REFRESH))
 SQL = f"""
 WITH RECURSIVE e0 AS (
   SELECT url AS a, unnest([nullif(coalesce(nullif(regexp_extract(html, '{_C0}', 1, 'is'), ''), regexp_extract(html, '{_C1}', 1, 'is')), ''), nullif(regexp_extract(html, '{_R}', 1, 'is'), '')]) AS b FROM pages WHERE url IS NOT NULL AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))),
-e AS (SELECT a, b FROM e0 WHERE contains(b, '://') UNION SELECT b, a FROM e0 WHERE contains(b, '://')),
+u0 AS (SELECT DISTINCT {_NODE.format(u='url')} AS u FROM pages WHERE url IS NOT NULL),
+u1 AS (SELECT u, regexp_replace(u, '(?s)#.*$', '') AS bare FROM u0),
+u2 AS (SELECT u, bare, regexp_replace(bare, '{TRACKING}', '', 'g') AS cut FROM u1),
+u3 AS (SELECT u, regexp_replace(CASE WHEN contains(bare, '?') AND NOT contains(cut, '?') THEN regexp_replace(cut, '(?s)^([^&]*)&', '\\1?') ELSE cut END, '{ENDS}', '\\1\\2') AS ended FROM u2),
+u4 AS (SELECT u, 'http://' || regexp_extract(ended, '{FRONT}', 1) AS b FROM u3 WHERE regexp_matches(u, '{ABSOLUTE}') AND regexp_matches(ended, '{FRONT}')),
+e1 AS (SELECT {_NODE.format(u='a')} AS a, {_NODE.format(u='b')} AS b FROM e0 WHERE contains(b, '://') UNION SELECT u, b FROM u4 WHERE u <> b),
+e AS (SELECT a, b FROM e1 UNION SELECT b, a FROM e1),
 reach AS (SELECT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON r.other = e.a),
 comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
 n AS (SELECT *, {_RULE} AS hit FROM (SELECT node, component, {_HOST.format(u='node')} AS host, {_PATH.format(u='node')} AS path FROM comp)),
 c AS (SELECT component, CASE WHEN bool_or(starts_with(hit, 'allow')) THEN 'allow' WHEN bool_or(starts_with(hit, 'block')) THEN 'block' END AS by FROM n GROUP BY component),
-p AS (SELECT *, {_RULE} AS hit FROM (SELECT page_id, url, {_HOST.format(u='url')} AS host, {_PATH.format(u='url')} AS path FROM pages))
+p AS (SELECT *, {_RULE} AS hit FROM (SELECT page_id, {_NODE.format(u='url')} AS url, {_HOST.format(u='url')} AS host, {_PATH.format(u='url')} AS path FROM pages))
 SELECT p.page_id, p.host, p.path, substring(p.hit, 7) AS rule, coalesce(substring(p.hit, 1, 5), c.by, 'allow') AS verdict, coalesce(n.component, p.url) AS component
 FROM p LEFT JOIN n ON n.node = p.url LEFT JOIN c ON c.component = n.component
 """
