@@ -1,12 +1,14 @@
 """Operator 9: SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model file gives three machines: the normaliser (white space to the mark, dummy prefix), the pieces as
-a trie of arcs that read a piece's characters and write its id, and byte fallback, whose arcs read one
-character and write its bytes. Composed with an input they give a lattice whose states are positions; the
-encoding is its shortest path in the tropical semiring. A unigram model weighs an arc by minus the piece's
-score. A BPE model allows an arc after another only where merging would leave the two pieces as they are
-(a merge sequence is canonical exactly when all adjacent pairs are), so its lattice has one path. Arcs that no piece
-spans split an input into segments with paths of their own; a task keeps the paths of segments it has seen.
+The model file gives three machines. The normaliser reads the longest source of the model's character map, or one
+character, and writes its target, spaces as the mark; its states know whether a space was written last. The pieces
+are a trie of arcs that read a piece's characters and write its id. Byte fallback reads one character that is no
+piece and writes its bytes. Composed with an input, arc by arc as they are reached, they make a lattice whose states are
+positions with the pieces' state; the encoding is its shortest path in the tropical semiring (costs add
+along a path, the least is kept). A unigram model has one state and weighs an arc by minus the piece's score. A BPE
+model's state is the piece last written, and an arc after another weighs 0 where merging by rank would leave the
+two pieces as they are, else infinity: a segmentation is what merging yields exactly when all its adjacent pairs are, so one path is finite.
+Where no piece spans a boundary the shortest paths on both sides are joined; a task keeps the paths of words it has seen.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Segments whose paths a task keeps.
-KEPT = 1_000_000
+#: Words whose paths a task keeps, and the longest word kept.
+KEPT, LONG = 500_000, 48
+INF = float("inf")
 
 
 def default_model() -> str:
@@ -65,23 +68,68 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 class Paths(dict):
-    """The paths of segments seen so far, as bytes; it starts anew at KEPT of them."""
+    """The paths of words seen so far, as bytes; it starts anew at KEPT of them. Long words are not kept."""
 
     def __init__(self, of: Transducer, before: str) -> None:
         self.of, self.before = of, before
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT:
-            self.clear()
         t = self.of
-        if word[-2:] in t.pairs or len(word) < 2:
-            ids = t.ids_of(t.path(self.before + word)) if not t.special.search(word) else t._segments(self.before + word)
-        else:  # no piece spans the last two characters
-            ids = self[word[:-1]] + t.ids_of(t.path(word[-1]))
-        self[word] = ids
+        ids = t._segments(self.before + word) if t.special.search(word) else t.ids_of(t.shortest(self.before + word))
+        if len(word) <= LONG:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = ids
         return ids
 
 
+class Normaliser:
+    """The normaliser's transducer. charsmap: the model's compiled map, a double array over the sources' UTF-8 bytes
+    whose leaves point at null-terminated targets; without one every character is its own target."""
+
+    def __init__(self, charsmap: bytes, prefix: bool, squeeze: bool, escape: bool) -> None:
+        self.prefix, self.squeeze, self.escape = prefix, squeeze, escape
+        size = int.from_bytes(charsmap[:4], "little")
+        self.units = np.frombuffer(charsmap, "<u4", size // 4, 4).tolist() if charsmap else []
+        self.targets = charsmap[4 + size :]
+
+    def longest(self, data: bytes, at: int) -> tuple[str, int]:
+        """What the longest source at a place of data becomes, and where it ends; a character of no source is itself."""
+        units, node, value, end = self.units, 0, -1, at
+        node ^= (units[0] >> 10) << ((units[0] & 512) >> 6)
+        for i in range(at, len(data)):
+            node ^= data[i]
+            if node >= len(units) or units[node] & 0x800000FF != data[i]:
+                break
+            leaf = units[node] >> 8 & 1
+            node ^= (units[node] >> 10) << ((units[node] & 512) >> 6)
+            if leaf:
+                value, end = units[node] & 0x7FFFFFFF, i + 1
+        if value < 0:
+            end = at + 1
+            while end < len(data) and data[end] & 0xC0 == 0x80:
+                end += 1
+            return data[at:end].decode("utf-8", "replace"), end
+        return self.targets[value : self.targets.index(0, value)].decode(), end
+
+    def mapped(self, text: str) -> str:
+        if not self.units:
+            return text
+        data, at, out = text.encode("utf-8", "replace"), 0, []
+        while at < len(data):
+            target, at = self.longest(data, at)
+            out.append(target)
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        text = self.mapped(text)
+        if self.squeeze:
+            text = re.sub(" +", " ", text.strip(" "))
+        if self.prefix and text:
+            text = " " + text
+        return text.replace(" ", MARK) if self.escape else text
+
+
 class Transducer:
     """The compiled machines of a model file's bytes."""
 
@@ -99,8 +147,7 @@ class Transducer:
                 n = dict(_fields(v))
                 charsmap = n.get(2, b"")
                 self.prefix, self.squeeze, self.escape = bool(n.get(3, 1)), bool(n.get(4, 1)), bool(n.get(5, 1))
-        if charsmap:
-            raise ValueError("models with a character map are not supported: only the identity normaliser is compiled")
+        self.normalise = Normaliser(charsmap, self.prefix, self.squeeze, self.escape)
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("word and character models have no pieces to compose")
         self.pieces = [p for p, _, _ in pieces]
@@ -116,8 +163,9 @@ class Transducer:
         alone = "".join(c for c in "\n\t\r\x0b\x0c" if c not in {b for p in self.pairs for b in p})
         cls = re.escape(alone)
         self.cut = re.compile(rf"{MARK}*[^{MARK}{cls}]+|{MARK}+" + (rf"|[{cls}]" if alone else "")) if self.solid else None
-        self.low = min((s for s, t in zip(self.scores, self.types, strict=True) if t == NORMAL), default=0.0) - 10.0
-        self.quick = self.cut is not None and "\n" in alone and self.escape and not self.squeeze
+        normal = [s for s, t in zip(self.scores, self.types, strict=True) if t == NORMAL]
+        self.low, self.high = min(normal, default=0.0) - 10.0, max(normal, default=0.0)
+        self.quick = self.cut is not None and "\n" in alone and self.escape and not self.squeeze and not charsmap and bool(self.bytes)
         self.special = re.compile(f"[{MARK}{cls}]")
         self.word, self.line = Paths(self, MARK), Paths(self, "\n")
         self.rank = {p: self.scores[i] for p, i in self.ids.items()}
@@ -139,14 +187,6 @@ class Transducer:
             return b""
         return " ⁇ ".encode() if self.types[i] == UNKNOWN else self.pieces[i].replace(MARK, " ").encode()
 
-    def normalise(self, text: str) -> str:
-        """The text as the pieces' machine reads it."""
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if self.prefix and text:
-            text = " " + text
-        return text.replace(" ", MARK) if self.escape else text
-
     def _merge(self, chars: list[str]) -> list[str]:
         """What merging the best-scored adjacent pair, leftmost first, leaves of some characters."""
         rank = self.rank
@@ -170,71 +210,62 @@ class Transducer:
         data = c.encode("utf-8", "replace")
         return [self.bytes[x] for x in data] if all(x in self.bytes for x in data) else [self.unk]
 
+    def weight(self, before: int, piece: int) -> float:
+        """The cost of an arc that writes piece in the state `before`; infinite where the machine has no such arc."""
+        if self.kind == UNIGRAM:
+            return -self.scores[piece] if self.types[piece] == NORMAL else 0.1 - self.size[piece] * self.high
+        ok = self.fits[before].get(piece)
+        return 0.0 if (self._pair(before, piece) if ok is None else ok) else INF
+
     def path(self, s: str) -> list[int]:
-        """The ids of the shortest path through the lattice of a normalised segment."""
-        return self._bpe(s) if self.kind == BPE else self._unigram(s)
-
-    def _bpe(self, s: str) -> list[int]:
-        # A state is a position with the piece that ends there. A prefix has one canonical path, so one is kept.
-        n, fits, root = len(s), self.fits, self.trie
-        last: list[int | None] = [None] * (n + 1)  # the piece that ends here; -1: a character of byte fallback
-        last[0] = -1
+        """The ids of the shortest path through the lattice of a normalised text."""
+        # best[i]: of each state reached at position i, its cost, and position, state and piece (-1: fallback) of the arc there
+        n, ids, bpe, weight = len(s), self.ids, self.kind == BPE, self.weight
+        single = np.float32  # unigram costs add in single precision, as ties of equal pieces in another order depend on it
+        best: list[dict[int, tuple[float, int, int, int]]] = [{} for _ in range(n + 1)]
+        best[0][-1] = (0.0, 0, 0, 0)
         for i in range(n):
-            before = last[i]
-            if before is None:
-                continue
-            may, node = fits[before], root
+            here, node = best[i], self.trie
             for j in range(i, n):
-                node = node.get(s[j])
-                if node is None:
+                if not here or (node := node.get(s[j])) is None:
                     break
                 p = node.get(0)
-                if p is not None and last[j + 1] is None:
-                    ok = may.get(p)
-                    if self._pair(before, p) if ok is None else ok:
-                        last[j + 1] = p
-            if s[i] not in self.ids:
-                last[i + 1] = -1
+                if p is not None:
+                    to, state = best[j + 1], p if bpe else -1
+                    for before, (cost, *_) in here.items():
+                        w = weight(before, p) if bpe else float(single(cost + weight(before, p)))
+                        if w < INF and (state not in to or w < to[state][0]):
+                            to[state] = (w, i, before, p)
+            if s[i] not in ids:
+                for before, (cost, *_) in here.items():
+                    w = 0.0 if bpe else float(single(cost - self.low))
+                    if -1 not in best[i + 1] or w < best[i + 1][-1][0]:
+                        best[i + 1][-1] = (w, i, before, -1)
         out, j = [], n
+        state = min(best[n], key=lambda x: best[n][x][0]) if n else -1
         while j > 0:
-            p = last[j]
-            if p >= 0:
-                out.append(p)
-                j -= self.size[p]
-            else:
-                j -= 1
-                out += reversed(self._fallback(s[j]))
+            _, i, state, p = best[j][state]
+            out += [p] if p >= 0 else reversed(self._fallback(s[i:j]))
+            j = i
         out.reverse()
         return out
 
-    def _unigram(self, s: str) -> list[int]:
-        n = len(s)
-        cost, back = [float("inf")] * (n + 1), [(0, -1)] * (n + 1)
-        cost[0] = 0.0
-        for i in range(n):
-            single = False
-            for size in range(1, min(self.longest, n - i) + 1):
-                p = self.ids.get(s[i : i + size])
-                if p is not None:
-                    single |= size == 1
-                    w = cost[i] - (self.scores[p] if self.types[p] == NORMAL else size * max(self.scores) - 0.1)
-                    if w < cost[i + size]:
-                        cost[i + size], back[i + size] = w, (i, p)
-            if not single and cost[i] - self.low < cost[i + 1]:
-                cost[i + 1], back[i + 1] = cost[i] - self.low, (i, -1)
-        out, j = [], n
-        while j > 0:
-            i, p = back[j]
-            out.append([p] if p >= 0 else self._fallback(s[i:j]))
-            j = i
-        return [x for ids in reversed(out) for x in ids]
+    def shortest(self, s: str) -> list[int]:
+        """The same, part by part: no piece spans the boundary between two characters that none holds side by side."""
+        if self.kind != BPE or len(s) < 2:
+            return self.path(s)
+        ends = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in self.pairs]
+        return [x for a, b in zip([0, *ends], [*ends, len(s)], strict=True) for x in self.path(s[a:b])]
 
     def ids_of(self, path: list[int]) -> bytes:
         return b"".join(map(self.packed.__getitem__, path))
 
     def _segments(self, s: str) -> bytes:
         """The path of a normalised text: where no piece spans a boundary, the paths on both sides are joined."""
-        return b"".join([self.ids_of(self.path(x)) for x in (self.cut.findall(s) if self.cut else [s])])
+        ids = [i for x in (self.cut.findall(s) if self.cut else [s]) for i in self.shortest(x)]
+        if not self.bytes:  # without byte fallback a run of unknown characters is one id
+            ids = [x for k, x in enumerate(ids) if x != self.unk or not k or ids[k - 1] != self.unk]
+        return self.ids_of(ids)
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian 32-bit integers."""
@@ -289,16 +320,18 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, ids array<int>, decoded string for every row of docs (doc_id, text; others ignored).
 
     Whole texts are encoded; null and empty texts have no ids. Decoding gives the text back exactly if
-    the model neither squeezes spaces nor lacks byte fallback. model: path of a .model file on the driver.
+    the model neither maps characters nor squeezes spaces nor lacks byte fallback, and the text holds no mark. Rows that repeat
+    a doc_id are encoded each, null ids too; an empty table gives an empty result. Of equally short paths the first found
+    stands. model: path of a .model file on the driver.
     """
     row = lambda t, text, raw: (np.frombuffer(raw, "<i4").tolist(), t.decode(np.frombuffer(raw, "<i4")))
-    return _docs(docs).mapInArrow(_batches(_load(model), row, {"ids": pa.list_(pa.int32()), "decoded": pa.string()}), "doc_id bigint, ids array<int>, decoded string")
+    return mapped(_docs(docs), _batches(_load(model), row, {"ids": pa.list_(pa.int32()), "decoded": pa.string()}), "doc_id bigint, ids array<int>, decoded string")
 
 
 def digest_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, n_ids, ids_sha256 (of the ids as little-endian 32-bit integers), round_trip for every row of docs."""
+    """doc_id, n_ids, ids_sha256 (of the ids as little-endian 32-bit integers), round_trip for every row of docs, as encode_documents."""
     row = lambda t, text, raw: (len(raw) // 4, hashlib.sha256(raw).hexdigest(), t.decode(np.frombuffer(raw, "<i4")) == text)
-    return _docs(docs).mapInArrow(_batches(_load(model), row, {"n_ids": pa.int64(), "ids_sha256": pa.string(), "round_trip": pa.bool_()}), "doc_id bigint, n_ids bigint, ids_sha256 string, round_trip boolean")
+    return mapped(_docs(docs), _batches(_load(model), row, {"n_ids": pa.int64(), "ids_sha256": pa.string(), "round_trip": pa.bool_()}), "doc_id bigint, n_ids bigint, ids_sha256 string, round_trip boolean")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
