@@ -1,7 +1,8 @@
 """Operator 1: exact top-k inner-product search by tiled matrix products.
 
-The corpus is dealt by a hash of the id into tiles and the queries into blocks; each (block, tile) pair is
-one row of a join on its own key, so pairs spread over the cluster and a task holds one tile and one block.
+The corpus is dealt by a hash of the id into tiles and the queries into blocks, whose numbers follow the counted rows;
+each (block, tile) pair is one row of a join on its own key, so pairs spread over the cluster and a task holds one tile
+and one block. Few queries fill blocks of BLOCK, so the corpus moves once for each BLOCK queries.
 A task multiplies the two matrices, keeps the k best of each row, and the per-tile lists are merged
 in a tree of DataFrame aggregations with a fixed fan-in.
 """
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, staged, table
 
 #: Rows of a corpus tile and of a query block, and lists merged at once.
 TILE, BLOCK, FAN_IN = 8192, 4096, 16
@@ -45,27 +46,23 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(q.astype(object) @ c.astype(object).T, -LIM, LIM).astype(np.int64)
 
 
-def best(s: np.ndarray, ids: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of scores the order of its k best columns, ids ascending, and how many hold."""
-    n = s.shape[1]
-    gone = own[:, None] == ids[None, :] if len(np.intersect1d(own, ids)) else None
-    # Ties go to the smaller id: columns are in id order, so a stable sort of the negated scores decides.
-    if n > 4 * k:
-        work = -s
-        if gone is not None:
-            work[gone] = LIM
-        edge = np.partition(work, k - 1, axis=1)[:, k - 1 : k]
-        picks = np.zeros((len(s), k), np.int64)
-        for i in range(len(s)):
-            at = np.flatnonzero(work[i] <= edge[i])
-            picks[i] = at[np.argsort(work[i][at], kind="stable")[:k]]
-    else:
-        work = -s
-        if gone is not None:
-            work[gone] = LIM
-        picks = np.argsort(work, axis=1, kind="stable")[:, :k]
-    held = np.full(len(s), min(k, n)) if gone is None else np.minimum(k, n - gone.sum(axis=1))
-    return picks, held
+def best(s: np.ndarray, ids: np.ndarray, k: int, own: np.ndarray) -> list[np.ndarray]:
+    """For each row of scores its k best columns, best first, ties to smaller ids; the query's own column is none of them.
+
+    ids ascend, so a stable sort of the negated scores settles ties.
+    """
+    work, n = -s, s.shape[1]
+    at = np.searchsorted(ids, own)
+    mine = (at < n) & (ids[np.minimum(at, n - 1)] == own)
+    # One more than k, as the own column, whatever its score, may be among them.
+    edge = np.partition(work, min(k, n - 1), axis=1)[:, min(k, n - 1)] if n > 4 * k else np.full(len(s), LIM)
+    picks = []
+    for i in range(len(s)):
+        cols = np.flatnonzero(work[i] <= edge[i])
+        if mine[i]:
+            cols = cols[cols != at[i]]
+        picks.append(cols[np.argsort(work[i][cols], kind="stable")[:k]])
+    return picks
 
 
 def _tile_top(k: int):
@@ -86,10 +83,11 @@ def _tile_top(k: int):
                 for at in range(0, len(qid), 256):
                     own = qid[at : at + 256]
                     s = products(q[at : at + 256], c)
-                    picks, held = best(s, cid, k, own)
-                    keep = np.arange(picks.shape[1])[None, :] < held[:, None]
-                    neg, ids = -np.take_along_axis(s, picks, 1)[keep], cid[picks][keep]
-                    tops = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep.sum(axis=1))]), pa.int32()), pa.StructArray.from_arrays([pa.array(neg), pa.array(ids)], ["neg", "id"]))
+                    picks = best(s, cid, k, own)
+                    flat = np.concatenate(picks) if picks else np.zeros(0, np.int64)
+                    each = np.array([len(x) for x in picks], np.int64)
+                    neg, ids = -s[np.repeat(np.arange(len(picks)), each), flat], cid[flat]
+                    tops = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), pa.StructArray.from_arrays([pa.array(neg), pa.array(ids)], ["neg", "id"]))
                     yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), tile), pa.int64()), tops.cast(kind)], names=["query_id", "tile", "top"])
 
     return run
@@ -103,13 +101,13 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_co
     Vectors of different lengths are not compared. Null ids and null, partly null or non-finite vectors take
     no part; rows repeating an id count once (smallest vector). An empty table gives an empty result.
     """
-    v = quantised(vectors, id_col, vec_col, scale).withColumn("dim", F.size("v"))
-    n = v.count()
-    tiles, blocks = max(1, math.ceil(n / tile)), max(1, math.ceil(n / 20 / block))
+    v = staged(quantised(vectors, id_col, vec_col, scale).withColumn("dim", F.size("v")), "vectors")
+    n, asked = v.agg(F.count("*"), F.count_if(is_query)).first()
+    tiles, blocks = max(1, math.ceil(n / tile)), max(1, math.ceil(asked / block))
     packed = lambda d, key, num, name: d.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(num)).alias(key)).agg(F.collect_list(F.struct("id", "v")).alias(name))
     cs = packed(v, "tile", tiles, "cs").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     qs = packed(v.where(is_query), "block", blocks, "qs").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint"))))
-    top = cs.join(qs, ["dim", "block", "tile"]).select("dim", "tile", "qs", "cs").mapInArrow(_tile_top(k), "query_id bigint, tile bigint, top array<struct<neg:bigint,id:bigint>>")
+    top = mapped(cs.join(qs, ["dim", "block", "tile"]).select("dim", "tile", "qs", "cs"), _tile_top(k), "query_id bigint, tile bigint, top array<struct<neg:bigint,id:bigint>>")
     while True:
         tiles = math.ceil(tiles / FAN_IN)
         top = top.groupBy("query_id", F.floor(F.col("tile") / FAN_IN).alias("tile")).agg(F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
