@@ -18,10 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import mapped, staged, table
 
 #: Bytes fed to the decompressor at once; bytes of an archive, about; zlib level.
 FEED, ARCHIVE_BYTES, LEVEL = 1 << 16, 16 << 20, 5
+#: Bytes of a record's header at most.
+HEAD_BYTES = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -38,7 +40,8 @@ def _uri(page_id: int | None) -> str:
 
 
 def _id(uri: str | None) -> int | None:
-    return int(uri[10:-1]) if uri and uri.startswith("<urn:page:") and uri[10:-1] != "null" else None
+    """The page of a record id of this writer; null for ids of other writers."""
+    return int(uri[10:-1]) if uri and uri.startswith("<urn:page:") and uri[10:-1].lstrip("-").isdecimal() else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False) -> bytes:
@@ -58,40 +61,100 @@ def write_archive(records: Iterable[tuple[int | None, str | None, bytes, int | N
     return b"".join(record(*r) for r in records)
 
 
-def _members(stream: BinaryIO) -> Iterator[bytes]:
-    """The plain bytes of each gzip member, read FEED bytes at a time."""
-    rest = b""
-    while True:
-        rest = rest or stream.read(FEED)
-        if not rest:
-            return
-        z, out = zlib.decompressobj(31), []
-        while not z.eof:
+class _Plain:
+    """The plain bytes of one gzip member, decompressed FEED bytes at a time as they are asked for."""
+
+    def __init__(self, stream: BinaryIO, rest: bytes) -> None:
+        self.stream, self.rest, self.have = stream, rest, b""
+        self.z = zlib.decompressobj(31)
+
+    def _more(self) -> bool:
+        """False at the member's end; `rest` then holds what follows it."""
+        while not self.z.eof:
+            data = self.rest or self.stream.read(FEED)
+            if not data:
+                raise WarcError("member cut short")
             try:
-                out.append(z.decompress(rest))
+                out = self.z.decompress(data, FEED)
             except zlib.error as e:
                 raise WarcError(f"bad member: {e}") from e
-            rest = z.unused_data if z.eof else stream.read(FEED)
-            if not z.eof and not rest:
-                raise WarcError("member cut short")
-        yield b"".join(out)
+            self.rest = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+            if out:
+                self.have += out
+                return True
+        return False
+
+    def until(self, mark: bytes, most: int) -> bytes:
+        """What stands before mark, which is read too."""
+        while (at := self.have.find(mark)) < 0:
+            if len(self.have) > most or not self._more():
+                raise WarcError("no WARC header")
+        out, self.have = self.have[:at], self.have[at + len(mark) :]
+        return out
+
+    def take(self, n: int) -> bytes:
+        parts, size = [], 0
+        while size < n:
+            if not self.have and not self._more():
+                raise WarcError("content length differs")
+            parts.append(self.have[: n - size])
+            self.have = self.have[n - size :]
+            size += len(parts[-1])
+        return b"".join(parts)
+
+    def close(self) -> bytes:
+        """The rest of the member must be the end of the record; what follows the member."""
+        if self.take(4) != b"\r\n\r\n" or self.have or self._more():
+            raise WarcError("content length differs")
+        return self.rest
+
+
+class Headers(dict):
+    """Named fields, whose names are compared in lower case."""
+
+    def __init__(self, lines: Iterable[str]) -> None:
+        for x in lines:
+            if x[:1] in (" ", "\t") and self:  # a folded line goes on with the field before
+                last = next(reversed(self))
+                dict.__setitem__(self, last, f"{dict.__getitem__(self, last)} {x.strip()}")
+            elif ":" in x:
+                k, v = x.split(":", 1)
+                self.setdefault(k.strip().lower(), v.strip())
 
+    def __getitem__(self, key: str) -> str:
+        return dict.__getitem__(self, key.lower())
 
-def read_archive(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record, in order; framing and digests are checked."""
-    for data in _members(stream):
-        end = data.find(b"\r\n\r\n")
-        if not data.startswith(b"WARC/") or end < 0:
+    def get(self, key: str, default=None):
+        return dict.get(self, key.lower(), default)
+
+
+def _whole(head: Headers, name: str, data: bytes) -> None:
+    """Checks a SHA-1 digest where the record gives one."""
+    given = head.get(name, "")
+    if given.lower().startswith("sha1:") and given[5:].upper() != b32(data):
+        raise WarcError(f"{name} differs")
+
+
+def read_archive(stream: BinaryIO) -> Iterator[tuple[Headers, bytes]]:
+    """Headers and block of each record, in order: one record of one member is held at a time.
+
+    The block is framed by its content length, and digests are checked where given; archives of other writers are read
+    too. WarcError for a record that is cut short, badly framed or damaged.
+    """
+    rest = b""
+    while rest or (rest := stream.read(FEED)):
+        plain = _Plain(stream, rest)
+        lines = plain.until(b"\r\n\r\n", HEAD_BYTES).decode("utf-8", "replace").split("\r\n")
+        head = Headers(lines[1:])
+        n = head.get("Content-Length", "")
+        if not lines[0].startswith("WARC/") or not n.isdecimal():
             raise WarcError("no WARC header")
-        head = dict(x.split(": ", 1) for x in data[:end].decode().split("\r\n")[1:])
-        n = int(head["Content-Length"])
-        block = data[end + 4 : end + 4 + n]
-        if len(block) != n or data[end + 4 + n :] != b"\r\n\r\n":
-            raise WarcError("content length differs")
-        if head["WARC-Block-Digest"] != "sha1:" + b32(block):
-            raise WarcError("block digest differs")
-        if head["WARC-Type"] == "response" and head["WARC-Payload-Digest"] != "sha1:" + b32(block[block.index(b"\r\n\r\n") + 4 :]):
-            raise WarcError("payload digest differs")
+        block = plain.take(int(n))
+        rest = plain.close()
+        _whole(head, "WARC-Block-Digest", block)
+        http = block.find(b"\r\n\r\n") if head.get("Content-Type", "").startswith("application/http") else -4
+        if head.get("WARC-Type") in ("response", "resource") and http != -1:
+            _whole(head, "WARC-Payload-Digest", block[http + 4 :])
         yield head, block
 
 
@@ -114,8 +177,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in b.column("data").to_pylist():
             rows = []
             for head, block in read_archive(io.BytesIO(data)):
-                length = next(int(x[16:]) for x in block[: block.index(b"\r\n\r\n")].decode().split("\r\n") if x.startswith("Content-Length: "))
-                rows.append((_id(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], length, head["WARC-Payload-Digest"][5:], _id(head.get("WARC-Refers-To"))))
+                if head.get("WARC-Type") not in ("response", "revisit"):
+                    continue
+                http, _, payload = block.partition(b"\r\n\r\n")
+                stated = Headers(http.decode("utf-8", "replace").split("\r\n")[1:]).get("Content-Length", "")
+                length = int(stated) if stated.isdecimal() else len(payload) if head["WARC-Type"] == "response" else None
+                digest = head.get("WARC-Payload-Digest") or (f"sha1:{b32(payload)}" if head["WARC-Type"] == "response" else "")
+                rows.append((_id(head.get("WARC-Record-ID")), head.get("WARC-Target-URI"), head["WARC-Type"], length, digest.split(":", 1)[-1], _id(head.get("WARC-Refers-To"))))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"])
 
@@ -135,12 +203,13 @@ def archives(pages: DataFrame, least: int = 0, id_col: str = "page_id", url: str
     again = ids.join(first, "sha").where("NOT (page_id <=> first)").select(F.col("page_id").alias("id2"), F.col("sha").alias("sha2"), "first").distinct()
     rows = p.withColumn("sha", key).join(again, F.col("page_id").eqNullSafe(F.col("id2")) & (F.col("sha") == F.col("sha2")), "left")
     rows = rows.select("page_id", "url", "html", "first", F.col("first").isNotNull().alias("revisit"))
-    return staged(rows.mapInArrow(_write, "archive string, data binary"), "warc", "none")
+    return staged(mapped(rows, _write, "archive string, data binary"), "warc", "none")
 
 
 def records(found: DataFrame) -> DataFrame:
-    """page_id, url, record_type, payload_bytes, payload_digest, refers_to of archives (archive, data)."""
-    return found.select("data").mapInArrow(_read, "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint")
+    """page_id, url, record_type, payload_bytes, payload_digest, refers_to of the responses and revisits in archives
+    (archive, data); records of other types are read, checked and passed over, foreign record ids give a null page_id."""
+    return mapped(found.select("data"), _read, "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
