@@ -23,12 +23,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, staged, table
+from .common import mapped, mix, staged, table
 
 #: Payloads are padded with spaces to a multiple of UNIT bytes; samples a second of the WAV file.
 UNIT, RATE = 192, 8000
 #: Chunk sizes in bytes: least, on average (a power of two) and most; files to a pack target, about.
 LEAST, MEAN, MOST, PACK = 256, 1024, 8192, 2048
+#: Bytes of payloads that a task gathers before it packs them; payloads that it remembers having listed.
+GATHERED, LISTED = 20 << 20, 1_000_000
 GEAR = (mix(np.arange(256, dtype=np.uint64) + np.uint64(0x5EED)) >> np.uint64(32)).astype(np.uint32)
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
@@ -87,9 +89,12 @@ def chunks(media: bytes) -> list[tuple[bytes, bytes]]:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each row its payload's digest; of each distinct payload of a batch the digests of its chunks."""
+    """Of each row its payload's digest; of each payload that the task has not listed yet the digests of its chunks."""
+    seen: set[bytes] = set()
     for b in batches:
-        shas, sizes, lists, seen = [], [], [], set()
+        shas, sizes, lists = [], [], []
+        if len(seen) > LISTED:
+            seen.clear()
         for text in b.column("text").to_pylist():
             p = payload_of(text)
             sha = hashlib.sha256(p).digest()
@@ -106,20 +111,31 @@ def _target(sha: bytes, targets: int) -> int:
 
 def _packs(targets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(target, pack): the distinct payloads of a batch by target, compressed together."""
+        """(target, pack): the distinct payloads of GATHERED bytes by target, compressed together."""
+        own: dict[int, dict[bytes, bytes]] = {}
+        size = 0
         for b in batches:
-            own: dict[int, dict[bytes, bytes]] = {}
             for text in b.column("text").to_pylist():
                 p = payload_of(text)
                 sha = hashlib.sha256(p).digest()
-                own.setdefault(_target(sha, targets), {})[sha] = p
-            z = zstandard.ZstdCompressor(9)
-            packs = [z.compress(b"".join(struct.pack("<I", len(p)) + p for p in x.values())) for x in own.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(packs, pa.binary())], names=["target", "pack"])
+                to = own.setdefault(_target(sha, targets), {})
+                size += 0 if sha in to else len(p)
+                to[sha] = p
+                if size >= GATHERED:
+                    yield _packed(own)
+                    own, size = {}, 0
+        if own:
+            yield _packed(own)
 
     return run
 
 
+def _packed(own: dict[int, dict[bytes, bytes]]) -> pa.RecordBatch:
+    z = zstandard.ZstdCompressor(9)
+    packs = [z.compress(b"".join(struct.pack("<I", len(p)) + p for p in x.values())) for x in own.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(packs, pa.binary())], names=["target", "pack"])
+
+
 def _opened(pack: bytes) -> Iterator[bytes]:
     data, at = zstandard.ZstdDecompressor().decompress(pack), 0
     while at < len(data):
@@ -202,7 +218,7 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     the bytes of the chunks it owns. Null text is empty; other columns are ignored."""
     d = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(d.dtypes)["doc_id"]
-    index = staged(d.mapInArrow(_index, f"doc_id {kind}, n_bytes bigint, sha binary, digests array<binary>"), "index")
+    index = staged(mapped(d, _index, f"doc_id {kind}, n_bytes bigint, sha binary, digests array<binary>"), "index")
     targets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(index.count() / PACK))
     # Chunks whose digest another chunk has: the one of the smallest payload digest owns the bytes.
     # Here 128 bits of a payload's digest with 32 of the chunk's place name a chunk.
@@ -211,16 +227,16 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = seqs.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("digest", "first")
     shared = seqs.join(many, "digest").select("place", (F.col("place") == F.col("first")).alias("own")).distinct()
     target = F.pmod(F.conv(F.substring(F.hex("place"), 1, 12), 16, 10).cast("bigint"), F.lit(targets))
-    packs = d.select("text").mapInArrow(_packs(targets), "target bigint, pack binary")
+    packs = mapped(d.select("text"), _packs(targets), "target bigint, pack binary")
     store = packs.groupBy("target").cogroup(shared.withColumn("target", target).groupBy("target")).applyInArrow(_store, STORE)
     return index.select("doc_id", "n_bytes", "sha"), staged(store, "chunks")
 
 
 def read_media(store: DataFrame) -> DataFrame:
     """sha, payload_bytes, tail_crc32, media_bytes, media_sha256, feature of every file of a store, verified."""
-    whole = store.where(F.forall("owned", lambda x: x)).mapInArrow(_whole, READ)
+    whole = mapped(store.where(F.forall("owned", lambda x: x)), _whole, READ)
     part = store.where(F.exists("owned", lambda x: ~x))
-    lent = store.where(F.exists("lent", lambda x: x)).mapInArrow(_lent, "digest binary, bytes binary")
+    lent = mapped(store.where(F.exists("lent", lambda x: x)), _lent, "digest binary, bytes binary")
     need = part.select("sha", F.explode(F.expr("filter(digests, (x, i) -> NOT owned[i])")).alias("digest")).distinct()
     buckets = F.lit(max(1, math.ceil(part.count() / 512)))
     borrowed = need.join(lent, "digest").select(F.pmod(F.xxhash64("sha"), buckets).alias("bucket2"), F.col("sha").alias("borrower"), "digest", "bytes")

@@ -3,7 +3,7 @@
 Documents are dealt into shards by a hash of the id; the number of shards follows the number of documents, so a
 shard's work is bounded whatever the source or duplicate cluster. In a shard, largest first, a document goes to the
 tightest open bin that is compatible: bins are kept ordered by residual, each with bit planes of the sources and
-a bitmap of the duplicate clusters it holds; the successor search starts at the document's length and goes on to
+a bitmap of the duplicate clusters it holds (of a shard, so copies in other shards do not conflict); the successor search starts at the document's length and goes on to
 the next larger residual until a compatible bin is found, else a bin is opened.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, table
 
 #: Words in a bin, documents of one source in a bin, documents in a shard about.
 CAPACITY, PER_SOURCE, SHARD = 4096, 4, 4096
@@ -98,12 +98,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     docs: doc_id, text, source; other columns are ignored. Lengths are in words (ASCII white space). A document longer
     than capacity is cut into full bins of its own and a rest, which is packed like the others. Texts without words
     are packed with length 0. Null texts count as empty, null sources as a source ''. Rows repeating a doc_id are
-    packed each; an exact repeat is a duplicate and goes to another bin.
+    packed each; an exact repeat is a duplicate and goes to another bin. Rows are dealt into shards by id and text, those
+    without an id by their place, so that null and repeated ids spread; equal lengths go by id, null ids last, then by
+    text. An empty table gives an empty result.
     """
     n = docs.select("doc_id").count()
     shards = max(1, math.ceil(n / shard))
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
-    return d.mapInArrow(_measured, "doc_id bigint, source string, n_words bigint, cluster binary, shard bigint").groupBy("shard").applyInArrow(_packed(capacity, per_source), "doc_id bigint, piece bigint, bin_id bigint, bin_start bigint, doc_start bigint, length bigint")
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.monotonically_increasing_id()), "text"), F.lit(shards)).alias("shard"))
+    return mapped(d, _measured, "doc_id bigint, source string, n_words bigint, cluster binary, shard bigint").groupBy("shard").applyInArrow(_packed(capacity, per_source), "doc_id bigint, piece bigint, bin_id bigint, bin_start bigint, doc_start bigint, length bigint")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
