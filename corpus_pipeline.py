@@ -10,35 +10,44 @@ from proseloom.llm.common import staged, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the Kneser-Ney quality classifier keeps; rows without doc_id are judged by their text too."""
-    kept = quality.classify(docs, table(spark, sf_dir, "labels")).where("keep").select("doc_id").distinct()
-    out = docs.join(kept, docs["doc_id"].cast("bigint").eqNullSafe(kept["doc_id"]), "left_semi")
-    return out.select(docs.columns)
+    """Rows that the Kneser-Ney quality classifier keeps, each judged by its own text, null and repeated ids too."""
+    return quality.classify(docs, table(spark, sf_dir, "labels"), carry=True).where("keep").select("row.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold of the toxicity model."""
+    """Rows that score below the threshold of the toxicity model, each by its own text; null and empty ones are scored as empty."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where(F.col("__score") < toxicity.THRESHOLD).select("__row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier document holds; texts of which no word is left go."""
+    """Texts without the lines that an earlier document holds; texts of which no word is left go, null and empty ones too.
+
+    Rows that repeat a doc_id are one document of all their lines; null ids are one document after all others.
+    """
     kept = linededup.dedup_lines(docs).where(F.col("kept_text").rlike(r"\S"))
     n = F.length("kept_text").cast("bigint")
     return kept.select(*(F.col("kept_text").alias("text") if c == "text" else n.alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group linked by 5-word shingles at 0.8."""
-    groups = jaccard.similar_documents(docs)
-    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return out
+    """One row of each group linked by 5-word shingles at 0.8: that of the smallest doc_id, null ids last.
+
+    Rows are nodes by their place in a staged copy, so rows with null or repeated ids are compared by their own texts; of
+    equal ids the first row stays. Rows without words are linked with nothing and all stay.
+    """
+    at = "place"
+    while at in docs.columns:
+        at += "_"
+    rows = staged(docs.withColumn(at, F.monotonically_increasing_id()), "placed")
+    groups = jaccard.similar_documents(rows.select(F.col(at).alias("doc_id"), "text"))
+    named = groups.select(F.col("doc_id").alias(at), "component_id").join(rows.select(at, "doc_id"), at)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", at)).alias("first")).select(F.col(f"first.{at}"))
+    return rows.join(first, at, "left_semi").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each word of each document goes: bins of 4096 words without two copies of a text."""
+    """Where each word of each row goes: bins of 4096 words without two copies of a text (of a shard)."""
     return packing.pack(docs)
 
 
