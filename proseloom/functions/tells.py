@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import NWS, SPACE, WORD, WS
+
 # Id, name, strength and pattern of each rule; results depend on every character of them.
 RULES = [
     ("s1", "not X but Y", "strong", r"\bnot (?:just|only|merely|simply)\b[^.!?\n]{0,70}?,\s*but\b"),
@@ -36,21 +38,31 @@ RULES = [
     ("v9", "process vocabulary", "strong", r"(?i)\b(?:leverage[sd]?|utilize[sd]?|facilitate[sd]?|robust(?:ness)?|comprehensive|holistic|streamlin\w+)\b"),
     ("v10", "bold label opener", "weak", r"(?m)^\s*[-*]\s+\*\*[^*]{1,40}[.:]\*\*"),
 ]
+# What is blanked before rules are counted: fenced code, inline code, link targets; and what stands in their place.
+BLANKED = [(r"(?ms)^```.*?^```\s*?$", "\n"), (r"`[^`\n]+`", "`x`"), (r"\]\([^)\s]+\)", "](x)")]
 # End of fixed values.
 
+EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+
 
 def portable(pattern: str) -> str:
-    """The pattern with Unicode word characters and digits spelled out, as Java and RE2 read them alike."""
-    return pattern.replace(r"\w", r"[\p{L}\p{N}_]").replace(r"\d", r"\p{Nd}")
+    """The pattern with Unicode word characters, digits and white space spelled out; only its \b is left to the engine."""
+    spaced = pattern.replace(r")\s]", f"){SPACE}]").replace(r"\s", WS)
+    return spaced.replace(r"\w", WORD).replace(r"\d", r"\p{Nd}")
+
+
+def java(pattern: str) -> str:
+    """The same for Spark: lines end at line feeds only, and a word's edge is stated, as it differs between Java versions."""
+    return "(?d)" + portable(pattern).replace(r"\b", EDGE)
 
 
 def cleaned(text: Column) -> Column:
     """Text with code fences, inline code and link targets blanked out."""
-    text = F.regexp_replace(text, r"(?ms)^```.*?^```\s*?$", "\n")
-    text = F.regexp_replace(text, r"`[^`\n]+`", "`x`")
-    return F.regexp_replace(text, r"\]\([^)\s]+\)", "](x)")
+    for pattern, put in BLANKED:
+        text = F.regexp_replace(text, java(pattern), put)
+    return text
 
 
 def words(text: Column) -> Column:
-    """Runs of non-blank characters; null text has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
+    """Runs between white space; null text has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(f"{NWS}+")), F.lit(0))

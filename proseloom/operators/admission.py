@@ -48,17 +48,20 @@ def agreement(first: DataFrame, second: DataFrame, ident: str, items: str) -> Da
     b = second.select(ident, F.array_sort(F.array_distinct(items)).alias("b"))
     x = first.select(ident, F.array_sort(F.array_distinct(items)).alias("a")).join(b, ident, "left").withColumn("b", F.coalesce("b", F.expr("slice(a, 1, 0)")))
     both = F.size(F.array_union("a", "b"))
-    return x.agg(F.count("*").alias("points"), F.count_if(F.col("a") == F.col("b")).alias("identical"), F.avg(F.when(both > 0, F.size(F.array_intersect("a", "b")) / both).otherwise(1.0)).alias("overlap"))
+    return x.agg(F.count("*").alias("points"), F.count_if(F.col("a") == F.col("b")).alias("identical"), F.round(F.avg(F.when(both > 0, F.size(F.array_intersect("a", "b")) / both).otherwise(1.0)), 3).alias("overlap"))
 
 
 def refusals(verdicts: DataFrame, run: str) -> DataFrame:
-    """run, sent, omitted, reason: why a run's verdicts are not used, the first that applies, else ''.
+    """run, sent, omitted, looked, reason: why a run's verdicts are not used, the first that applies, else ''.
 
-    verdicts: effective (TRUE, FALSE, SAME, UNVERIFIABLE, OMITTED), lazy, probe_ok (null: not a probe), turns.
+    verdicts: verdict (as given; OMITTED: none), effective, reason_code, probe (a definition put in to see whether the
+    checker looks), turns. Sent are all but probes; looked at is what is sent less SAME, ORIGINAL and NOT_A_FACT.
     """
-    s = verdicts.groupBy(run).agg(F.count("*").alias("sent"), F.count_if(F.col("effective") == "OMITTED").alias("omitted"), F.count_if("lazy").alias("lazy"), F.count_if(F.col("probe_ok") == F.lit(False)).alias("probes"), F.count_if(F.col("effective").isin("TRUE", "FALSE")).alias("looked"), F.max("turns").alias("turns"))
-    why = F.when(F.col("omitted") > 0, "omitted").when((F.col("lazy") >= 2) & (F.col("lazy") > 0.3 * F.col("sent")), "lazy").when(F.col("probes") > 0, "probes").when((F.col("looked") >= 6) & (F.col("turns") <= 2), "turns").otherwise("")
-    return s.select(run, "sent", "omitted", why.alias("reason"))
+    real = ~F.coalesce(F.col("probe"), F.lit(False))
+    lazy = real & (F.col("verdict") == "UNVERIFIABLE") & ~F.col("reason_code").eqNullSafe("outside_repo")
+    s = verdicts.groupBy(run).agg(F.count_if(real).alias("sent"), F.count_if(real & (F.col("verdict") == "OMITTED")).alias("omitted"), F.count_if(lazy).alias("lazy"), F.count_if(~real & ~F.col("effective").eqNullSafe("TRUE")).alias("unconfirmed"), F.count_if(real & ~F.col("effective").isin("SAME", "ORIGINAL", "NOT_A_FACT")).alias("looked"), F.max("turns").alias("turns"))
+    why = F.when(F.col("omitted") > 0, "omitted").when((F.col("lazy") >= 2) & (F.col("lazy") > 0.3 * F.col("sent")), "lazy").when(F.col("unconfirmed") > 0, "probes").when((F.col("looked") >= 6) & (F.col("turns") <= 2), "turns").otherwise("")
+    return s.select(run, "sent", "omitted", "looked", why.alias("reason"))
 
 
 def shares(metrics: DataFrame, group: str, changed: str, sent: str) -> DataFrame:
@@ -67,7 +70,43 @@ def shares(metrics: DataFrame, group: str, changed: str, sent: str) -> DataFrame
     return s.withColumn("share", F.when(F.col("sent") > 0, 100.0 * F.col("changed") / F.col("sent")).otherwise(0.0))
 
 
-def revert_cap(claims, blocks):
-    """max(8, a quarter rounded up); with three changed blocks or more, half of them at most."""
-    cap = F.greatest(F.lit(8), F.ceil(claims / 4))
+def revert_cap(blocks):
+    """How many of the changed blocks may go back: max(8, a quarter rounded up); of three or more, half at most."""
+    cap = F.greatest(F.lit(8), F.ceil(blocks / 4))
     return F.when(blocks >= 3, F.least(cap, F.floor(blocks / 2))).otherwise(cap).cast("bigint")
+
+
+def votes(points: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """points with `votes`, the rules that each of two assigners gave a point, a rule once or twice.
+
+    points: episode, point; first and second: id (episode#point), supports.
+    """
+    none = F.expr("cast(array() AS array<string>)")
+    held = lambda d, i: d.select(F.col("id").alias("pid"), F.array_distinct("supports").alias(f"s{i}"))
+    x = points.withColumn("pid", F.concat_ws("#", "episode", "point")).join(held(first, 1), "pid", "left").join(held(second, 2), "pid", "left")
+    return x.withColumn("votes", F.concat(F.coalesce("s1", none), F.coalesce("s2", none))).drop("pid", "s1", "s2")
+
+
+def counts(rule, keys):
+    """Whether two of three readings give a voted point to a rule: its key and each assigner."""
+    return F.size(F.filter("votes", lambda v: v == rule)) + F.array_contains(keys, F.col("key")).cast("int") >= 2
+
+
+def existing(points: DataFrame, rules: DataFrame, since: str) -> DataFrame:
+    """id, sessions, points, breached_after, extensions, conflicts: fresh evidence for rules that exist already.
+
+    points: key, relation, date, session, is_writing and votes; rules: id. A conflict counts by the point's key alone and
+    is no support. Breaches and extensions are those of the key too; rules without any point have no row.
+    """
+    p = points.where(F.col("is_writing").isin("yes", "partly"))
+    named = p.withColumn("id", F.explode(F.array_distinct(F.concat(F.array("key"), "votes")))).join(rules.select("id"), "id")
+    own = F.col("key") == F.col("id")
+    conflict = own & (F.col("relation") == "conflict")
+    named = named.withColumn("conflict", F.coalesce(conflict, F.lit(False))).where(F.col("conflict") | counts(F.col("id"), F.array("id")))
+    good = ~F.col("conflict")
+    return named.groupBy("id").agg(F.array_sort(F.collect_set(F.when(good, F.col("session")))).alias("sessions"), F.count_if(good).alias("points"), F.count_if(good & own & (F.col("relation") == "violation") & (F.coalesce("date", F.lit("")) >= since)).alias("breached_after"), F.count_if(good & own & (F.col("relation") == "extension")).alias("extensions"), F.count_if("conflict").alias("conflicts"))
+
+
+def recommended(verdict, why, points):
+    """What to do with a ledger item: reject what lint refused, decide a conflict, accept three points, else hold."""
+    return F.when(verdict == "refuse", "reject").when(F.contains(why, F.lit("conflict")), "decide").when(points >= 3, "accept").otherwise("hold")

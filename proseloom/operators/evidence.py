@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import norm_packet, slug
+
 #: Verdicts that put a claim back.
 REVERT = ("FALSE", "UNVERIFIABLE")
 #: Qualities of a pair, best first.
 QUALITIES = ("exact", "literal", "commit", "final", "label-only", "none")
 
 
-def stability(verdicts: DataFrame, doc: str, claim: str, verdict: str) -> DataFrame:
-    """doc, claims, always, sometimes, never, reverted_slots, slots: how often the runs of a claim put it back."""
-    back = F.count_if(F.coalesce(F.col(verdict).isin(*REVERT), F.lit(False)))
-    one = verdicts.groupBy(doc, claim).agg(F.count("*").alias("runs"), back.alias("k"))
-    return one.groupBy(doc).agg(F.count("*").alias("claims"), F.count_if(F.expr("k = runs")).alias("always"), F.count_if(F.expr("k > 0 AND k < runs")).alias("sometimes"), F.count_if(F.expr("k = 0")).alias("never"), F.sum("k").alias("reverted_slots"), F.sum("runs").alias("slots"))
+def stability(verdicts: DataFrame, doc: str, run: str, claim: str, verdict: str) -> DataFrame:
+    """doc, runs, claims, always, sometimes, never, reverted_slots, slots: how often the runs of a document put a claim back.
+
+    A claim that a run of its document does not name was not put back by it. A run that names a claim twice counts once.
+    """
+    one = verdicts.groupBy(doc, claim).agg(F.count_distinct(F.when(F.col(verdict).isin(*REVERT), F.col(run))).alias("k"))
+    runs = verdicts.groupBy(doc).agg(F.count_distinct(run).alias("runs"))
+    x = one.join(runs, doc)
+    return x.groupBy(doc).agg(F.max("runs").alias("runs"), F.count("*").alias("claims"), F.count_if(F.expr("k = runs")).alias("always"), F.count_if(F.expr("k > 0 AND k < runs")).alias("sometimes"), F.count_if(F.expr("k = 0")).alias("never"), F.sum("k").alias("reverted_slots"), F.sum("runs").alias("slots"))
 
 
 def reader_agreement(packets: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
@@ -53,10 +59,13 @@ def pair_quality(candidates: DataFrame, pairs: str = "pairs") -> DataFrame:
     return order.join(n, order.pair_quality == n.q, "left").select("pair_quality", F.coalesce("best", F.lit(0)).alias("best"), F.coalesce("every", F.lit(0)).alias("every"))
 
 
-def repeated_sentences(sentences: DataFrame, rule: str, sentence: str) -> DataFrame:
-    """rule, sentence, owner: sentences that a rule of smaller id holds too. The owner is a minimum, so hot sentences pre-aggregate."""
-    s = sentences.select(rule, sentence).distinct()
-    return s.join(s.groupBy(sentence).agg(F.min(rule).alias("owner")), sentence).where(F.col("owner") != F.col(rule)).select(rule, sentence, "owner")
+def repeated_sentences(sentences: DataFrame, rule: str, pos: str, sentence: str) -> DataFrame:
+    """rule, sentence, owner: sentences that another rule, the owner, holds earlier in reading order `pos`.
+
+    The owner is a minimum, so hot sentences pre-aggregate.
+    """
+    first = sentences.groupBy(sentence).agg(F.min_by(rule, pos).alias("owner"))
+    return sentences.select(rule, sentence).distinct().join(first, sentence).where(F.col("owner") != F.col(rule)).select(rule, sentence, "owner")
 
 
 def passage_runs(units: DataFrame, block: list[str], pos: str, new: str, words: str, least: int = 8) -> DataFrame:
@@ -74,11 +83,6 @@ def within_budget(sources: DataFrame, group: str, order: str, size: str, cap: in
     return d.where(F.col("used") < budget).withColumn("sent", F.least(own, F.lit(budget) - F.col("used")).cast("bigint")).drop("used")
 
 
-def slug(title: Column) -> Column:
-    """Lower-case letters, digits, underscores and hyphens; spaces become hyphens."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(title)), r"[^\p{L}\p{N}_\- ]", ""), " ", "-")
-
-
 def anchors(headings: DataFrame, doc: str, pos: str, title: str) -> DataFrame:
     """headings with `anchor`: the slug, and -1, -2 and so on for later headings of the same slug in a document."""
     d = headings.withColumn("slug", slug(F.col(title)))
@@ -105,12 +109,16 @@ def commits_with_slack(inputs: DataFrame, commits: DataFrame, start: str, end: s
 
 
 def checked_points(points: DataFrame, packets: DataFrame) -> DataFrame:
-    """points with `why`, '' for those that hold: no packet, then a quote not in its words, then a quote from what was seen.
+    """points with `why`, '' for those that hold: no packet, then a quote not in its words, then a quote from what was
+    seen or pasted, then a pair that the packet lacks.
 
-    points: episode, quote. packets: episode, words, seen. Case and white space do not count; nulls are empty.
+    points: episode, quote, before_ref, after_ref. packets: episode, words, seen, pasted, pairs (their ids). Case, white
+    space, apostrophes and punctuation do not count; nulls are empty.
     """
-    norm = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " ")))
-    p = packets.select("episode", norm("words").alias("w"), norm("seen").alias("s"), F.lit(True).alias("known"))
-    d = points.join(p, "episode", "left").withColumn("q", norm("quote"))
-    why = F.when(F.col("known").isNull(), "packet").when((F.col("q") == "") | ~F.contains("w", "q"), "words").when(F.contains("s", "q"), "seen").otherwise("")
+    none = F.expr("cast(array() AS array<string>)")
+    seen = F.concat(norm_packet(F.col("seen")), F.lit(" "), F.array_join(F.transform(F.coalesce("pasted", none), norm_packet), " "))
+    p = packets.select("episode", norm_packet(F.col("words")).alias("w"), seen.alias("s"), F.coalesce("pairs", none).alias("ids"), F.lit(True).alias("known"))
+    d = points.join(p, "episode", "left").withColumn("q", norm_packet(F.col("quote")))
+    lost = lambda c: (F.coalesce(c, F.lit("")) != "") & ~F.array_contains("ids", F.col(c))
+    why = F.when(F.col("known").isNull(), "packet").when((F.col("q") == "") | ~F.contains("w", "q"), "words").when(F.contains("s", "q"), "seen").when(lost("before_ref") | lost("after_ref"), "pair").otherwise("")
     return d.withColumn("why", why).select(*points.columns, "why")

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tells import RULES, cleaned, portable, words
+from ..functions.tells import RULES, cleaned, java, words
 
 
 def rates(texts: DataFrame, group: str, text: str = "text") -> DataFrame:
     """group, rule, hits, words, per_1000 (0.0 without words): a row for each group and rule. Null text counts as empty."""
+    wide = texts.sparkSession.sparkContext.defaultParallelism
+    if texts.rdd.getNumPartitions() < wide:  # one row group is one task, and the patterns are the work
+        texts = texts.repartition(wide)
     base = texts.select(F.col(group), F.coalesce(F.col(text), F.lit("")).alias("raw")).withColumn("prose", cleaned(F.col("raw")))
-    sums = base.groupBy(group).agg(F.sum(words(F.col("raw"))).alias("words"), *(F.sum(F.regexp_count("prose", F.lit(portable(p)))).alias(i) for i, _, _, p in RULES))
+    sums = base.groupBy(group).agg(F.sum(words(F.col("raw"))).alias("words"), *(F.sum(F.regexp_count("prose", F.lit(java(p)))).alias(i) for i, _, _, p in RULES))
     long = sums.select(group, "words", F.explode(F.array(*(F.struct(F.lit(i).alias("rule"), F.col(i).cast("bigint").alias("hits")) for i, *_ in RULES))).alias("r"))
     return long.select(group, "r.rule", "r.hits", "words", F.when(F.col("words") > 0, 1000.0 * F.col("r.hits") / F.col("words")).otherwise(0.0).alias("per_1000"))
 

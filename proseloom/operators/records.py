@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tells import words
+
 
 def first_copies(records: DataFrame, ident: list[str], order: list[str]) -> DataFrame:
     """The first record of each identity in file order; others go whatever any later filter says."""
@@ -21,7 +23,7 @@ def without_resends(records: DataFrame, session: str, text: str, seconds: str, o
 
 def kind_counts(records: DataFrame, kind: str, text: str) -> DataFrame:
     """kind, records, words."""
-    return records.groupBy(kind).agg(F.count("*").alias("records"), F.sum(F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+"))).cast("bigint").alias("words"))
+    return records.groupBy(kind).agg(F.count("*").alias("records"), F.sum(words(F.col(text))).cast("bigint").alias("words"))
 
 
 def intervals(inputs: DataFrame, session: str, at: str) -> DataFrame:

@@ -1 +1 @@
-"""See the README for what this folder holds so far."""
+"""Readers of logs and records."""

@@ -1 +1 @@
-"""See the README for what this folder holds so far."""
+"""Stateful operators over event streams."""

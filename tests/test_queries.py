@@ -18,7 +18,7 @@ def rows(frame):
     return sorted(repr([round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r]) for r in f.where(f.notna(), None).values.tolist())
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
     for f in os.listdir(DIR):
