@@ -34,7 +34,7 @@ def test_changes_and_passages():
     assert kinds == {("same", 0), ("added", 1), ("added", 2), ("removed", 0)}  # rewordings pair within their own region
     there = [(c["kind"], c["old"]) for c in markdown.changes("One. The pump starts at noon.", "One. The pump starts at two.")]
     assert there == [("same", "One."), ("changed", "The pump starts at noon.")]
-    assert [p["text"] for p in markdown.changed_passages(old, new)] == ["A whole new sentence with at least eight words in it."]
+    assert [p["text"] for p in markdown.changed_passages(old, new)] == ["The pump starts at noon and stops at two.", "A whole new sentence with at least eight words in it."]
     assert markdown.changed_passages(new, new) == [] and markdown.splice("abcd", [(0, 1), (2, 3)], ["X", "YY"]) == "XbYYd"
 
 
