@@ -6,6 +6,11 @@ filed under the signatures of their ranges (twice: in their own size class and t
 that share a signature form coarse groups. A task keeps one row for a signature it meets often, so a
 signature that half of all documents share sends one row a task.
 
+Splitting. Passages that many documents share chain unlike sets into one coarse group. The sets of a group of more than
+TILE are put in one order of shingles, rarest first; linked sets share one of the first n - ceil(t n) + 1 shingles of each, so the group
+falls apart into the components of sets that share one of those. Holders of a shingle are counted in targets of
+bounded size; shingles that a large part of a batch holds stay out of them and stand last in the order.
+
 Joining. Each coarse group comes together once, with one set for each class of equal sets. Its sets are put
 in one global order (most frequent shingles first) and stored as a trie, held as the sorted sequences and their common
 prefix lengths. The rarest shingles, of which linked sets share one, lead a query to the subtrees that it walks; it keeps
@@ -25,7 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, lean, mapped, mix, shingle_sets, staged, table, unstaged
@@ -40,6 +45,11 @@ PART = 8192
 KEPT = 6
 #: Texts whose shingles a worker makes at once.
 ROWS = 512
+#: Shingles of the sets of large groups to a target in which their holders are counted, about.
+COUNTED = 1 << 20
+#: Shingles that stand last in the order uncounted, at most; they reach the driver and every task (8 bytes each). Which they are
+#: changes the candidates and no result.
+FREQUENT = 1 << 16
 
 
 def size_class(n: int, num: int, den: int) -> int:
@@ -106,7 +116,7 @@ def _route(n: int, num: int, den: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # sets that this task has filed: equal ones are a class, which files once
         for b in batches:
-            sizes, digests, sig, who = [], [], [], []
+            sizes, digests, sig, who, new = [], [], [], [], []
             ids = b.column("doc_id").to_pylist()
             for i, s in zip(ids, _each_set(b, n), strict=True):
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
@@ -114,31 +124,45 @@ def _route(n: int, num: int, den: int, parts: int):
                 digests.append(d)
                 if i is not None and d is not None and d not in seen:
                     seen.add(d)
+                    new.append(s)
                     x = signatures(s, num, den)
                     sig.append(x)
                     who.append(np.full(len(x), i, np.int64))
             yield _row(b.num_rows, doc_id=pa.array(ids, pa.int64()), n_shingles=pa.array(sizes, pa.int64()), digest=pa.array(digests, pa.binary()))
             if not sig:
                 continue
+            often = _frequent(new)
+            yield _row(len(often), token=pa.array(often.view(np.int64)))
             sig, who, edges = _stars(np.concatenate(sig), np.concatenate(who))
             yield _row(len(edges), a=pa.array(edges[:, 0]), b=pa.array(edges[:, 1]))
-            to = (sig % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((who, to))
-            full, cut = np.unique(to[order], return_index=True)
-            blobs = [_packed(sig[o], who[o]) for o in np.split(order, cut[1:])]
-            yield _row(len(full), part=pa.array(full), data=pa.array(blobs, pa.binary()))
+            yield _dealt(sig, who, parts)
 
     return run
 
 
-SCHEMA = "doc_id bigint, n_shingles bigint, digest binary, a bigint, b bigint, part bigint, data binary"
-_TYPES = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "digest": pa.binary(), "a": pa.int64(), "b": pa.int64(), "part": pa.int64(), "data": pa.binary()}
+SCHEMA = "doc_id bigint, n_shingles bigint, digest binary, a bigint, b bigint, part bigint, data binary, token bigint, spare bigint"
+_TYPES = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "digest": pa.binary(), "a": pa.int64(), "b": pa.int64(), "part": pa.int64(), "data": pa.binary(), "token": pa.int64(), "spare": pa.int64()}
 
 
 def _row(n: int, **cols: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([cols.get(c, pa.nulls(n, t)) for c, t in _TYPES.items()], names=list(_TYPES))
 
 
+def _dealt(sig: np.ndarray, who: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Signatures and their holders, a row for each target."""
+    to = (sig % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((who, to))
+    full, cut = np.unique(to[order], return_index=True)
+    blobs = [_packed(sig[o], who[o]) for o in np.split(order, cut[1:])] if len(full) else []
+    return _row(len(full), part=pa.array(full), data=pa.array(blobs, pa.binary()))
+
+
+def _frequent(sets: list[np.ndarray]) -> np.ndarray:
+    """The shingles that at least 8 of the sets and a sixteenth of them hold."""
+    tokens, n = np.unique(np.concatenate(sets), return_counts=True)
+    return tokens[n >= max(8, len(sets) / 16)]
+
+
 def _stars(sig: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One row a signature, with its smallest holder, and edges from the other holders to that one."""
     order = np.lexsort((who, sig))
@@ -163,29 +187,97 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return sig.view("<u8").ravel().astype(np.uint64), np.cumsum(np.ascontiguousarray(x[KEPT:].T).view("<i8").ravel())
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each target a forest of edges between holders of equal signatures; rows come ordered by target, of which one is held."""
+def _targets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Signatures and holders of one target after the other; rows come ordered by target, of which one is held."""
     at, blobs = None, []
     for b in batches:
         data = b.column("data")
         for i, here in enumerate(b.column("part").to_pylist()):
-            if here != at:
-                yield from _forest(blobs)
-                blobs, at = [], here
+            if here != at and blobs:
+                yield tuple(np.concatenate(x) for x in zip(*map(_unpacked, blobs), strict=True))
+                blobs = []
+            at = here
             blobs.append(data[i].as_py())
-    yield from _forest(blobs)
+    if blobs:
+        yield tuple(np.concatenate(x) for x in zip(*map(_unpacked, blobs), strict=True))
 
 
-def _forest(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """The edges of one target that join what was apart."""
-    if blobs:
-        sig, who = (np.concatenate(x) for x in zip(*map(_unpacked, blobs), strict=True))
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each target a forest of edges between holders of equal signatures: those that join what was apart."""
+    for sig, who in _targets(batches):
         _, _, e = _stars(sig, who)
         sets = UnionFind()
         e = e[[sets.join(a, b) for a, b in e.tolist()]] if len(e) else e
         yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
 
+def _leading(words: int, num: int, den: int, parts: int, frequent: np.ndarray):
+    """Of sets of large groups (doc_id, grp, many, text): shingles, named apart by group and packed by target; `spare`, which plus the
+    number of shingles with several holders says how many of those lead; and frequent shingles that lead, as few others come before them. All shingles of an id of many rows lead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, sig, who, spare, late, of = b.column("doc_id").to_numpy(), [], [], [], [], []
+            for i, g, many, s in zip(ids.tolist(), b.column("grp").to_numpy().astype(np.uint64), b.column("many").to_pylist(), _each_set(b, words), strict=True):
+                often = np.zeros(len(s), bool)
+                if len(frequent):
+                    often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+                with np.errstate(over="ignore"):
+                    x = mix(s ^ mix(np.array([g]) + np.uint64(1)))
+                sig.append(x[~often])
+                who.append(np.full(len(sig[-1]), i, np.int64))
+                spare.append(1 << 40 if many else len(s) - (len(s) * num + den - 1) // den + 1 - len(sig[-1]))
+                if spare[-1] > 0:
+                    late.append(np.sort(x[often])[: spare[-1]])
+                    of.append(np.full(len(late[-1]), i, np.int64))
+            yield _row(len(ids), doc_id=pa.array(ids), spare=pa.array(spare, pa.int64()))
+            if late:
+                late, of = np.concatenate(late), np.concatenate(of)
+                yield _row(len(of), doc_id=pa.array(of), token=pa.array(late.view(np.int64)))
+            if sig:
+                yield _dealt(np.concatenate(sig), np.concatenate(who), parts)
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each target the shingles with several holders: a row for each holder."""
+    for sig, who in _targets(batches):
+        order = np.argsort(sig, kind="stable")
+        sig, who = sig[order], who[order]
+        _, at, n = np.unique(sig, return_inverse=True, return_counts=True)
+        n = n[at]
+        full = n > 1
+        yield pa.RecordBatch.from_arrays([pa.array(who[full]), pa.array(sig[full].view(np.int64)), pa.array(n[full])], names=["doc_id", "token", "n"])
+
+
+def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a batch one holder of each shingle, and edges from the other holders to that one."""
+    for b in batches:
+        sig, who, e = _stars(b.column("token").to_numpy().view(np.uint64), b.column("doc_id").to_numpy())
+        yield _row(len(sig), doc_id=pa.array(who), token=pa.array(sig.view(np.int64)))
+        yield _row(len(e), a=pa.array(e[:, 0]), b=pa.array(e[:, 1]))
+
+
+def _split(big: DataFrame, routed: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(node, component): big (doc_id, grp, many, text, n_shingles) dealt anew so that linked sets of a grp stay together; sets that cannot link are left out."""
+    parts = max(8, math.ceil((big.agg(F.sum("n_shingles")).first()[0] or 0) / COUNTED))
+    found = routed.where("token IS NOT NULL").groupBy("token").count().orderBy(F.desc("count"), "token").limit(FREQUENT).select("token").collect()
+    frequent = np.sort(np.array([r.token for r in found], np.int64).view(np.uint64))
+    led = staged(mapped(big.select("doc_id", "grp", "many", "text"), _leading(words, num, den, parts, frequent), SCHEMA), "leading")
+    shared = mapped(led.where("part IS NOT NULL").select("part", "data").repartition("part").sortWithinPartitions("part"), _shared, "doc_id bigint, token bigint, n bigint")
+    one = Window.partitionBy("doc_id")
+    ranked = shared.join(led.where("spare IS NOT NULL").groupBy("doc_id").agg(F.max("spare").alias("spare")), "doc_id").select(
+        "doc_id", "token", "spare", F.count("*").over(one).alias("c"), F.row_number().over(one.orderBy("n", "token")).alias("r"))
+    lead = ranked.where("r <= spare + c").select("doc_id", "token").unionAll(led.where("token IS NOT NULL").select("doc_id", "token"))
+    held = staged(mapped(lead, _hold, SCHEMA).select("doc_id", "token", "a", "b"), "held")
+    unstaged(led)
+    of = held.where("token IS NOT NULL").select("doc_id", "token")
+    heads = of.groupBy("token").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("token", "b")
+    stars = of.join(heads, "token").where("doc_id > b").select(F.col("doc_id").alias("a"), "b")
+    return connected_components(stars.unionAll(held.where("a IS NOT NULL").select("a", "b")))
+
+
 def trie_join(sets: list[np.ndarray], num: int, den: int, split: int = 0) -> list[tuple[int, int]]:
     """(i, j): links between sets, so many that they connect all that linked sets connect.
 
@@ -296,13 +388,21 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     rows = staged(routed.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "digest"), "sizes")
     met = mapped(routed.where("part IS NOT NULL").select("part", "data").repartition("part").sortWithinPartitions("part"), _meet, "a bigint, b bigint")
     coarse = staged(connected_components(met.unionAll(routed.where("a IS NOT NULL").select("a", "b"))), "coarse")
-    unstaged(routed)
     # Equal sets are a class, which its smallest doc_id stands for.
     classes = staged(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     same = rows.join(classes.where("copies > 1"), "digest").where("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    grouped = staged(coarse.withColumnRenamed("node", "doc_id").join(rows, "doc_id").join(classes, "digest").groupBy("rep").agg(F.min("component").alias("grp")), "grouped")
+    grouped = staged(coarse.withColumnRenamed("node", "doc_id").join(rows, "doc_id").join(classes, "digest").groupBy("rep").agg(F.min("component").alias("grp"), F.max("n_shingles").alias("n_shingles")), "grouped")
     groups = grouped.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1")
-    members = staged(grouped.join(groups, "grp").select(F.col("rep").alias("doc_id"), "grp", "size"), "members")
+    members = staged(grouped.join(groups, "grp").select(F.col("rep").alias("doc_id"), "grp", "size", "n_shingles"), "members")
+    large = members.where(F.col("size") > TILE)
+    if not large.isEmpty():
+        many = rows.groupBy("doc_id").agg(F.count("*").alias("many")).where("many > 1")
+        large = large.join(many, "doc_id", "left").withColumn("many", F.col("many").isNotNull())
+        parted = staged(_split(large.join(d, "doc_id"), routed, words, num, den), "parted")
+        sizes = parted.groupBy("component").agg(F.count("*").alias("size"))
+        anew = parted.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), "size")
+        members = staged(members.where(F.col("size") <= TILE).select("doc_id", "grp", "size").unionAll(anew), "members")
+    unstaged(routed)
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     dealt = members.join(d, "doc_id").withColumn("t", F.pmod(F.xxhash64("doc_id"), tiles).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1)))
     # Texts travel, not their hashes, which are longer and do not compress.

@@ -202,11 +202,16 @@ def test_similar_documents_hard_rows(spark):
     assert jaccard.similar_documents(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize(("words", "num"), [(5, 80), (3, 90)])
-def test_similar_documents_brute_force(spark, words, num):
+@pytest.mark.parametrize(("words", "num", "tile", "targets"), [(5, 80, 2048, 1 << 20), (3, 90, 2048, 1 << 20), (5, 80, 3, 2000), (3, 50, 3, 2000)])
+def test_similar_documents_brute_force(spark, monkeypatch, words, num, tile, targets):
+    """With small tiles, coarse groups are split by their rare shingles and what remains is dealt over tiles."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "COUNTED", targets)
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [(r.doc_id, r.text or "") for r in d.collect()]
     rows += [(10_000 + i, f"{t} added{i}") for i, t in rows[:60]]
+    common = " ".join(f"common{k}" for k in range(40))
+    rows += [(20_000 + i, f"{common} " + " ".join(f"own{i}x{k}" for k in range(i % 23))) for i in range(60)]
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
