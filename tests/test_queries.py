@@ -28,6 +28,14 @@ def test_query_equals_sql(spark, name):
     assert len(ours) and rows(ours) == rows(sql)
 
 
+def test_quotes_with_sharp_s_equal_sql(spark):
+    """One of the quotes at sf0.01 holds an ß, which Spark's upper makes SS."""
+    big = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{big}/conversations.parquet'")
+    assert rows(QUERIES["quote_containment"](spark, big).toPandas()) == rows(c.execute(SQL["quote_containment"]).df())
+
+
 def test_rules_fire(spark):
     fired = QUERIES["tell_rates_by_lang"](spark, DIR).where("hits > 0").select("rule").distinct().count()
     assert fired >= 10
