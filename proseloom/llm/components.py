@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, staged, unstaged
+from .common import mapped, merged, staged, unstaged
 
 
 #: Edges that a worker contracts at once.
@@ -72,7 +72,7 @@ def _contracted(held: list[pa.RecordBatch], kinds: list) -> pa.RecordBatch:
 def _stars(e: DataFrame, salts: int, kind: str) -> DataFrame:
     """One large-star and one small-star round over edges a > b; a hub's edges are dealt over `salts` tasks."""
     low = e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
-    big = e.withColumn("s", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int")).join(low, ["b", "s"], "left").select("a", F.coalesce("m", "b").alias("b"))
+    big = merged(e.withColumn("s", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int")), low, ["b", "s"], "left").select("a", F.coalesce("m", "b").alias("b"))
     # Partitions by a serve the distinct rows and the window alike, so this is one shuffle.
     few = mapped(big, _contract, f"a {kind}, b {kind}").repartition("a").dropDuplicates(["a", "b"]).withColumn("m", F.min("b").over(Window.partitionBy("a")))
     ends = F.explode(F.when(F.col("b") == F.col("m"), F.array(F.struct("a", F.col("m").alias("b")))).otherwise(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))

@@ -30,10 +30,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, lean, mapped, mix, shingle_sets, staged, table, unstaged
+from .common import bounded, lean, mapped, merged, mix, shingle_sets, staged, table, unstaged
 from .components import UnionFind, connected_components
 
 #: Sets that one task joins with as many others, in groups too large for one task.
@@ -148,13 +148,13 @@ def _row(n: int, **cols: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([cols.get(c, pa.nulls(n, t)) for c, t in _TYPES.items()], names=list(_TYPES))
 
 
-def _dealt(sig: np.ndarray, who: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Signatures and their holders, a row for each target."""
+def _dealt(sig: np.ndarray, who: np.ndarray, parts: int, **cols: int) -> pa.RecordBatch:
+    """Signatures and their holders, a row for each target, which also gets cols."""
     to = (sig % np.uint64(parts)).astype(np.int64)
     order = np.lexsort((who, to))
     full, cut = np.unique(to[order], return_index=True)
     blobs = [_packed(sig[o], who[o]) for o in np.split(order, cut[1:])] if len(full) else []
-    return _row(len(full), part=pa.array(full), data=pa.array(blobs, pa.binary()))
+    return _row(len(full), part=pa.array(full), data=pa.array(blobs, pa.binary()), **{c: pa.array(np.full(len(full), v, np.int64)) for c, v in cols.items()})
 
 
 def _frequent(sets: list[np.ndarray]) -> np.ndarray:
@@ -173,6 +173,12 @@ def _stars(sig: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return sig[new], who[new], edges
 
 
+def _forest(e: np.ndarray) -> np.ndarray:
+    """Those of the edges that join what was apart."""
+    sets = UnionFind()
+    return e[[sets.join(a, b) for a, b in e.tolist()]] if len(e) else e
+
+
 def _packed(sig: np.ndarray, who: np.ndarray) -> bytes:
     """Signatures and their holders, compressed; holders come in the order of the rows, so their differences are small."""
     low = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEPT :]
@@ -187,27 +193,36 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return sig.view("<u8").ravel().astype(np.uint64), np.cumsum(np.ascontiguousarray(x[KEPT:].T).view("<i8").ravel())
 
 
-def _targets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Signatures and holders of one target after the other; rows come ordered by target, of which one is held."""
-    at, blobs = None, []
+def _together(df: DataFrame) -> DataFrame:
+    """The rows of each target side by side."""
+    return df.repartition("part").sortWithinPartitions("part")
+
+
+def _by_part(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The rows of one target after the other, of which one is held."""
+    at, rows = None, []
     for b in batches:
-        data = b.column("data")
+        cols = [b.column(c) for c in names]
         for i, here in enumerate(b.column("part").to_pylist()):
-            if here != at and blobs:
-                yield tuple(np.concatenate(x) for x in zip(*map(_unpacked, blobs), strict=True))
-                blobs = []
+            if here != at and rows:
+                yield rows
+                rows = []
             at = here
-            blobs.append(data[i].as_py())
-    if blobs:
-        yield tuple(np.concatenate(x) for x in zip(*map(_unpacked, blobs), strict=True))
+            rows.append(tuple(c[i].as_py() for c in cols))
+    if rows:
+        yield rows
+
+
+def _targets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Signatures and holders of one target after the other."""
+    for rows in _by_part(batches, ("data",)):
+        yield tuple(np.concatenate(x) for x in zip(*(_unpacked(x) for (x,) in rows), strict=True))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each target a forest of edges between holders of equal signatures: those that join what was apart."""
     for sig, who in _targets(batches):
-        _, _, e = _stars(sig, who)
-        sets = UnionFind()
-        e = e[[sets.join(a, b) for a, b in e.tolist()]] if len(e) else e
+        e = _forest(_stars(sig, who)[2])
         yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
 
@@ -230,33 +245,70 @@ def _leading(words: int, num: int, den: int, parts: int, frequent: np.ndarray):
                 if spare[-1] > 0:
                     late.append(np.sort(x[often])[: spare[-1]])
                     of.append(np.full(len(late[-1]), i, np.int64))
-            yield _row(len(ids), doc_id=pa.array(ids), spare=pa.array(spare, pa.int64()))
+            yield _row(len(ids), part=pa.array(_home(ids, parts)), doc_id=pa.array(ids), spare=pa.array(spare, pa.int64()))
             if late:
-                late, of = np.concatenate(late), np.concatenate(of)
-                yield _row(len(of), doc_id=pa.array(of), token=pa.array(late.view(np.int64)))
+                yield from _holders(np.concatenate(late), np.concatenate(of), parts)
             if sig:
                 yield _dealt(np.concatenate(sig), np.concatenate(who), parts)
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each target the shingles with several holders: a row for each holder."""
-    for sig, who in _targets(batches):
-        order = np.argsort(sig, kind="stable")
-        sig, who = sig[order], who[order]
-        _, at, n = np.unique(sig, return_inverse=True, return_counts=True)
-        n = n[at]
-        full = n > 1
-        yield pa.RecordBatch.from_arrays([pa.array(who[full]), pa.array(sig[full].view(np.int64)), pa.array(n[full])], names=["doc_id", "token", "n"])
+def _home(ids: np.ndarray, parts: int) -> np.ndarray:
+    """The targets in which documents rank their shingles."""
+    with np.errstate(over="ignore"):
+        return (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
-def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a batch one holder of each shingle, and edges from the other holders to that one."""
-    for b in batches:
-        sig, who, e = _stars(b.column("token").to_numpy().view(np.uint64), b.column("doc_id").to_numpy())
-        yield _row(len(sig), doc_id=pa.array(who), token=pa.array(sig.view(np.int64)))
-        yield _row(len(e), a=pa.array(e[:, 0]), b=pa.array(e[:, 1]))
+def _holders(sig: np.ndarray, who: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Of leading shingles one holder of each, dealt by shingle (token 1), and a forest of edges from the other holders."""
+    if not len(sig):
+        return
+    with np.errstate(over="ignore"):
+        sig, who, e = _stars(mix(sig), who)  # anew, as of packed ones the low bytes, which deal them, are gone
+    e = _forest(e)
+    yield _row(len(e), a=pa.array(e[:, 0]), b=pa.array(e[:, 1]))
+    yield _dealt(sig, who, parts, token=1)
+
+
+def _shared(parts: int):
+    """Of each target the shingles with several holders, packed by the targets in which the holders rank them; counts are packed alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sig, who in _targets(batches):
+            _, at, n = np.unique(sig, return_inverse=True, return_counts=True)
+            n = n[at]
+            full = n > 1
+            sig, who, n = sig[full], who[full], n[full]
+            to = _home(who, parts)
+            order = np.lexsort((who, to))
+            homes, cut = np.unique(to[order], return_index=True)
+            groups = np.split(order, cut[1:]) if len(homes) else []
+            data, counts = [_packed(sig[o], who[o]) for o in groups], [zstandard.ZstdCompressor(1).compress(n[o].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for o in groups]
+            yield _row(len(homes), part=pa.array(homes), data=pa.array(data, pa.binary()), digest=pa.array(counts, pa.binary()))
+
+    return run
+
+
+def _ranked(parts: int):
+    """Of each target, in which its documents' shared shingles and spares meet, the shingles that lead, as _holders gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_part(batches, ("data", "digest", "doc_id", "spare")):
+            blobs = [(_unpacked(x), np.frombuffer(zstandard.ZstdDecompressor().decompress(y), np.uint8).reshape(4, -1)) for x, y, _, _ in rows if x is not None]
+            if not blobs:
+                continue
+            sig, who = (np.concatenate(x) for x in zip(*(x for x, _ in blobs), strict=True))
+            n = np.concatenate([np.ascontiguousarray(y.T).view("<u4").ravel() for _, y in blobs])
+            docs, first = np.unique(np.array([i for _, _, i, _ in rows if i is not None], np.int64), return_index=True)
+            spare = np.array([x for _, _, i, x in rows if i is not None], np.int64)[first]
+            order = np.lexsort((sig, n, who))
+            sig, who = sig[order], who[order]
+            _, start, at, c = np.unique(who, return_index=True, return_inverse=True, return_counts=True)
+            lead = np.arange(len(who)) - start[at] < spare[np.searchsorted(docs, who)] + c[at]
+            yield from _holders(sig[lead], who[lead], parts)
+
+    return run
 
 
 def _split(big: DataFrame, routed: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -265,17 +317,12 @@ def _split(big: DataFrame, routed: DataFrame, words: int, num: int, den: int) ->
     found = routed.where("token IS NOT NULL").groupBy("token").count().orderBy(F.desc("count"), "token").limit(FREQUENT).select("token").collect()
     frequent = np.sort(np.array([r.token for r in found], np.int64).view(np.uint64))
     led = staged(mapped(big.select("doc_id", "grp", "many", "text"), _leading(words, num, den, parts, frequent), SCHEMA), "leading")
-    shared = mapped(led.where("part IS NOT NULL").select("part", "data").repartition("part").sortWithinPartitions("part"), _shared, "doc_id bigint, token bigint, n bigint")
-    one = Window.partitionBy("doc_id")
-    ranked = shared.join(led.where("spare IS NOT NULL").groupBy("doc_id").agg(F.max("spare").alias("spare")), "doc_id").select(
-        "doc_id", "token", "spare", F.count("*").over(one).alias("c"), F.row_number().over(one.orderBy("n", "token")).alias("r"))
-    lead = ranked.where("r <= spare + c").select("doc_id", "token").unionAll(led.where("token IS NOT NULL").select("doc_id", "token"))
-    held = staged(mapped(lead, _hold, SCHEMA).select("doc_id", "token", "a", "b"), "held")
+    shared = mapped(_together(led.where("data IS NOT NULL AND token IS NULL").select("part", "data")), _shared(parts), SCHEMA)
+    ranks = shared.unionAll(led.where("spare IS NOT NULL")).select("part", "data", "digest", "doc_id", "spare")
+    held = staged(mapped(_together(ranks), _ranked(parts), SCHEMA).unionAll(led.where("token IS NOT NULL OR a IS NOT NULL")).select("part", "data", "a", "b"), "held")
     unstaged(led)
-    of = held.where("token IS NOT NULL").select("doc_id", "token")
-    heads = of.groupBy("token").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("token", "b")
-    stars = of.join(heads, "token").where("doc_id > b").select(F.col("doc_id").alias("a"), "b")
-    return connected_components(stars.unionAll(held.where("a IS NOT NULL").select("a", "b")))
+    met = mapped(_together(held.where("data IS NOT NULL").select("part", "data")), _meet, "a bigint, b bigint")
+    return connected_components(met.unionAll(held.where("a IS NOT NULL").select("a", "b")))
 
 
 def trie_join(sets: list[np.ndarray], num: int, den: int, split: int = 0) -> list[tuple[int, int]]:
@@ -386,31 +433,34 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     parts = max(8, math.ceil(d.select("doc_id").count() / PART))
     routed = staged(mapped(d, _route(words, num, den, parts), SCHEMA), "routed")
     rows = staged(routed.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "digest"), "sizes")
-    met = mapped(routed.where("part IS NOT NULL").select("part", "data").repartition("part").sortWithinPartitions("part"), _meet, "a bigint, b bigint")
+    met = mapped(_together(routed.where("part IS NOT NULL").select("part", "data")), _meet, "a bigint, b bigint")
     coarse = staged(connected_components(met.unionAll(routed.where("a IS NOT NULL").select("a", "b"))), "coarse")
     # Equal sets are a class, which its smallest doc_id stands for.
     classes = staged(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    same = rows.join(classes.where("copies > 1"), "digest").where("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    grouped = staged(coarse.withColumnRenamed("node", "doc_id").join(rows, "doc_id").join(classes, "digest").groupBy("rep").agg(F.min("component").alias("grp"), F.max("n_shingles").alias("n_shingles")), "grouped")
+    same = merged(rows, classes.where("copies > 1"), "digest").where("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    grouped = staged(merged(merged(coarse.withColumnRenamed("node", "doc_id"), rows, "doc_id"), classes, "digest").groupBy("rep").agg(F.min("component").alias("grp"), F.max("n_shingles").alias("n_shingles")), "grouped")
     groups = grouped.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1")
-    members = staged(grouped.join(groups, "grp").select(F.col("rep").alias("doc_id"), "grp", "size", "n_shingles"), "members")
-    large = members.where(F.col("size") > TILE)
+    many = rows.groupBy("doc_id").agg(F.count("*").alias("many")).where("many > 1")
+    members = merged(merged(grouped, groups, "grp").withColumnRenamed("rep", "doc_id"), many, "doc_id", "left").withColumn("many", F.col("many").isNotNull())
+    # All texts are shuffled once; those of groups are kept by them until the groups are joined.
+    texts = staged(merged(members, d, "doc_id").select("doc_id", "grp", "size", "n_shingles", "many", "text"), "texts")
+    large = texts.where(F.col("size") > TILE)
+    dealt = texts.where(F.col("size") <= TILE).select("doc_id", "grp", "size", "text")
     if not large.isEmpty():
-        many = rows.groupBy("doc_id").agg(F.count("*").alias("many")).where("many > 1")
-        large = large.join(many, "doc_id", "left").withColumn("many", F.col("many").isNotNull())
-        parted = staged(_split(large.join(d, "doc_id"), routed, words, num, den), "parted")
+        parted = staged(_split(large, routed, words, num, den), "parted")
         sizes = parted.groupBy("component").agg(F.count("*").alias("size"))
-        anew = parted.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), "size")
-        members = staged(members.where(F.col("size") <= TILE).select("doc_id", "grp", "size").unionAll(anew), "members")
+        anew = staged(merged(parted, sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), "size"), "members")
+        dealt = dealt.unionAll(merged(anew, large.select("doc_id", "text"), "doc_id").select("doc_id", "grp", "size", "text"))
     unstaged(routed)
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    dealt = members.join(d, "doc_id").withColumn("t", F.pmod(F.xxhash64("doc_id"), tiles).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = dealt.withColumn("t", F.pmod(F.xxhash64("doc_id"), tiles).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1)))
     # Texts travel, not their hashes, which are longer and do not compress.
     dealt = dealt.select("doc_id", "grp", "text", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), (F.col("t") <= F.col("o")).cast("int").alias("left"))
-    buckets = max(parts, math.ceil(members.count() / 1024))
+    buckets = max(parts, math.ceil(texts.count() / 1024))
     links = dealt.groupBy(F.pmod(F.xxhash64("grp", "x", "y"), F.lit(buckets)).alias("bucket")).applyInArrow(_join_groups(words, num, den), "a bigint, b bigint")
     final = connected_components(links.unionAll(same))
-    return rows.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    unstaged(texts)
+    return merged(rows, final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,6 +227,22 @@ def test_similar_documents_brute_force(spark, monkeypatch, words, num, tile, tar
     assert len(set(group.values())) < len(group) - 50
 
 
+def test_near_duplicates_send_no_table_through_the_driver(spark, monkeypatch):
+    """Broadcasts of any row fail here; large groups are split too."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard, "TILE", 3)
+    rows = docs(spark, [(i, f"{'alike ' * 9}{' '.join(f'w{i // 5}x{k}' for k in range(30))} {i}") for i in range(60)])
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    try:
+        kept = corpus_pipeline.near_duplicate_stage(spark, rows, DIR).collect()
+        groups = jaccard.similar_documents(rows, 3, 90, 100).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert sorted(r.doc_id for r in kept) == list(range(0, 60, 5))
+    assert {r.doc_id: r.component_id for r in groups} == {i: i // 5 * 5 for i in range(60)}
+
+
 def test_sentencepiece_equals_the_library(spark):
     import sentencepiece
 
