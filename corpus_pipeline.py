@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseloom.llm import jaccard, linededup, packing, quality, toxicity
-from proseloom.llm.common import staged, table
+from proseloom.llm.common import merged, staged, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         at += "_"
     rows = staged(docs.withColumn(at, F.monotonically_increasing_id()), "placed")
     groups = jaccard.similar_documents(rows.select(F.col(at).alias("doc_id"), "text"))
-    named = groups.select(F.col("doc_id").alias(at), "component_id").join(rows.select(at, "doc_id"), at)
+    named = merged(groups.select(F.col("doc_id").alias(at), "component_id"), rows.select(at, "doc_id"), at)
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", at)).alias("first")).select(F.col(f"first.{at}"))
-    return rows.join(first, at, "left_semi").select(docs.columns)
+    return merged(rows, first, at, "left_semi").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +229,32 @@ def test_similar_documents_brute_force(spark, monkeypatch, words, num, tile, tar
     assert len(set(group.values())) < len(group) - 50
 
 
+def test_leading_shingles_are_ranked_in_packed_rows():
+    """Holders of shared shingles are no rows of their own, and sets meet as by ranking all their shingles."""
+    rng, parts = np.random.default_rng(5), 4
+    names = rng.permutation(1 << 20)[:300].astype(np.uint64) << np.uint64(16)
+    sets = {i: np.unique(rng.choice(names[i % 7 * 40 : i % 7 * 40 + 50], 12)) for i in range(200)}
+    n = dict(zip(*np.unique(np.concatenate(list(sets.values())), return_counts=True), strict=True))
+    spare = {i: int(rng.integers(-len(s) - 2, 1 - len(s) // 2)) for i, s in sets.items()}
+    want, first = UnionFind(), {}
+    for i, s in sets.items():
+        ranked = sorted((n[x], x) for x in s if n[x] > 1)
+        for _, x in ranked[: max(0, spare[i] + len(ranked))]:
+            want.join(i, first.setdefault(x, i))
+    ids = np.array(list(sets))
+    dealt = jaccard._dealt(np.concatenate(list(sets.values())), np.repeat(ids, [len(s) for s in sets.values()]), parts)
+    shared = list(jaccard._shared(parts)(iter([dealt])))
+    assert sum(b.num_rows for b in shared) <= parts * parts
+    spares = jaccard._row(len(ids), part=pa.array(jaccard._home(ids, parts)), doc_id=pa.array(ids), spare=pa.array(list(spare.values())))
+    out = pa.Table.from_batches(jaccard._ranked(parts)(iter(pa.Table.from_batches([*shared, spares]).sort_by("part").to_batches())))
+    packed = out.filter(pc.is_valid(out["data"])).sort_by("part").to_batches()
+    got = UnionFind()
+    for b in [*out.filter(pc.is_valid(out["a"])).to_batches(), *jaccard._meet(iter(packed))]:
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+            got.join(x, y)
+    assert [want.find(i) for i in sets] == [got.find(i) for i in sets] and 7 < len({want.find(i) for i in sets}) < 150
+
+
 def test_near_duplicates_send_no_table_through_the_driver(spark, monkeypatch):
     """Broadcasts of any row fail here; large groups are split too."""
     import corpus_pipeline
