@@ -8,6 +8,7 @@ positions with the pieces' state; the encoding is its shortest path in the tropi
 along a path, the least is kept). A unigram model has one state and weighs an arc by minus the piece's score. A BPE
 model's state is the piece last written, and an arc after another weighs 0 where merging by rank would leave the
 two pieces as they are, else infinity: a segmentation is what merging yields exactly when all its adjacent pairs are, so one path is finite.
+Where arcs weigh 0 or infinitely any finite path is shortest, so that of a BPE model is searched in depth and not over the whole lattice.
 Where no piece spans a boundary the shortest paths on both sides are joined; a task keeps the paths of words it has seen.
 """
 
@@ -251,11 +252,57 @@ class Transducer:
         return out
 
     def shortest(self, s: str) -> list[int]:
-        """The same, part by part: no piece spans the boundary between two characters that none holds side by side."""
-        if self.kind != BPE or len(s) < 2:
+        """The same; of long texts part by part: no piece spans the boundary between two characters that none holds side by side."""
+        if self.kind != BPE:
             return self.path(s)
-        ends = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in self.pairs]
-        return [x for a, b in zip([0, *ends], [*ends, len(s)], strict=True) for x in self.path(s[a:b])]
+        if len(s) <= LONG:
+            return self.straight(s)
+        pairs = self.pairs
+        ends = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in pairs]
+        return [x for a, b in zip([0, *ends], [*ends, len(s)], strict=True) for x in self.straight(s[a:b])]
+
+    def _arcs(self, s: str, i: int) -> list[int]:
+        """The arcs from position i of a normalised text: byte fallback (-1), if its character is no piece, and pieces, the longest last."""
+        node, out = self.trie, [] if s[i] in self.ids else [-1]
+        for j in range(i, len(s)):
+            if (node := node.get(s[j])) is None:
+                break
+            if (p := node.get(0)) is not None:
+                out.append(p)
+        return out
+
+    def straight(self, s: str) -> list[int]:
+        """The shortest path of a BPE model, whose arcs weigh 0 or infinitely: the first that a search in depth completes, longest
+        pieces first. Arcs of positions that it does not reach are never composed; a state that leads nowhere is left once."""
+        n, size, fits, arcs = len(s), self.size, self.fits, self._arcs
+        path, at, before = [], 0, -1
+        todo: list[list[int]] = [arcs(s, 0)] if n else []
+        dead: set[tuple[int, int]] = set()
+        while at < n:
+            here = todo[-1]
+            while here:
+                p = here.pop()
+                to = at + (size[p] if p >= 0 else 1)
+                if dead and (to, p) in dead:
+                    continue
+                if p < 0 or ((ok := fits[before].get(p)) is None and self._pair(before, p)) or ok:
+                    path.append(p)
+                    at, before = to, p
+                    if to < n:
+                        todo.append(arcs(s, to))
+                    break
+            else:
+                dead.add((at, before))
+                todo.pop()
+                p = path.pop()
+                at, before = at - (size[p] if p >= 0 else 1), path[-1] if path else -1
+        if -1 not in path:
+            return path
+        out, at = [], 0
+        for p in path:
+            out += [p] if p >= 0 else self._fallback(s[at])
+            at += size[p] if p >= 0 else 1
+        return out
 
     def ids_of(self, path: list[int]) -> bytes:
         return b"".join(map(self.packed.__getitem__, path))

@@ -283,6 +283,19 @@ def test_sentencepiece_equals_the_library(spark):
     assert {r.doc_id: r.n_ids for r in spm.digest_documents(docs(spark, HARD)).collect()}[1] == 0
 
 
+def test_search_in_depth_finds_the_shortest_path(spark, monkeypatch):
+    """It equals the path through the whole lattice and composes arcs at less than two thirds of the positions."""
+    t = spm.Transducer(spm._load(None))
+    texts = [r.text or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").select("text").limit(60).collect()]
+    words = sorted({spm.MARK + w for x in texts for w in x.split()}) + ["", "a", "aaaaaaaaaaaaa", "ééé☃☃x", "☃", "x" * 300 + "☃y"]
+    composed, arcs = [], spm.Transducer._arcs
+    monkeypatch.setattr(spm.Transducer, "_arcs", lambda self, s, i: composed.append(i) or arcs(self, s, i))
+    assert len(words) > 1000
+    for w in words:
+        assert t.shortest(w) == t.path(w) == t.straight(w)
+    assert len(composed) < 2 * sum(map(len, words)) * 2 / 3
+
+
 def _field(number, value):
     def varint(v):
         out = b""
