@@ -1,15 +1,18 @@
-"""Scrub scan: what a published tree must not hold. Lines, words and runs of words are rows; digests meet them by joins."""
+"""Scrub scan: what a published tree must not hold. Lines are rows; words and runs of words meet terms and digests where their text is."""
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.udf import arrow_udf
 
@@ -30,13 +33,15 @@ SUFFIXES = (".py", ".md", ".json", ".toml", ".yml", ".yaml", ".sh", ".txt")
 NAMES = ("LICENSE", ".gitignore", "MANIFEST.in")
 MOST_BYTES, MOST_WORDS, LEAST_INSIDE, ID_CHARS = 1_000_000, 4, 3, 12
 # End of fixed values.
+# Words and pieces whose digests a task keeps; rows of a batch that leaves it; a word without findings.
+RECENT, OUT_ROWS, NONE = 500_000, 10_000, ([], [])
 
 
 @arrow_udf("string")
 def normalised(text: pd.Series) -> pd.Series:
     """NFKC without zero-width characters; null stays null."""
-    gone = dict.fromkeys(map(ord, ZERO_WIDTH))
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).translate(gone))
+    gone = re.compile(f"[{ZERO_WIDTH}]")
+    return text.map(lambda t: None if t is None else gone.sub("", unicodedata.normalize("NFKC", t)))
 
 
 @arrow_udf("string")
@@ -129,19 +134,37 @@ def file_policy(files: DataFrame) -> DataFrame:
     return files.select("path", F.lit(0).cast("bigint").alias("line"), kind.alias("kind")).where("kind <> ''")
 
 
-def word_rows(files: DataFrame) -> DataFrame:
-    """path, pos, line, word: the words of files (path, text) in order, over line breaks."""
-    lines = files.select("path", F.posexplode(F.split(normalised("text"), "\n")).alias("l", "t"))
-    w = lines.select("path", "l", F.posexplode(words(F.col("t"))).alias("i", "word"))
-    pos = F.row_number().over(Window.partitionBy("path").orderBy("l", "i"))
-    return w.select("path", pos.alias("pos"), (F.col("l") + 1).cast("bigint").alias("line"), "word")
+def marked(files: DataFrame) -> DataFrame:
+    """path, t: normalised, case-folded texts with their words between single spaces; line feeds stay where they are."""
+    return files.select("path", F.regexp_replace(_folded(normalised(F.col("text"))), r"[^\p{L}\p{N}\n]+", " ").alias("t")).where("t IS NOT NULL")
 
 
-def runs(files: DataFrame, most: int = MOST_WORDS) -> DataFrame:
-    """path, line (of the first word), gram: every run of one to `most` words."""
-    w = Window.partitionBy("path").orderBy("pos")
-    ahead = word_rows(files).withColumn("ws", F.array_compact(F.array("word", *(F.lead("word", k).over(w) for k in range(1, most)))))
-    return ahead.select("path", "line", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws")), lambda n: F.array_join(F.slice("ws", 1, n), " "))).alias("gram"))
+def _lines_of(text: str) -> list[int]:
+    """The line, from 1, of each word of a marked text."""
+    return [n for n, line in enumerate(text.split("\n"), 1) for _ in line.split()]
+
+
+def _found(files: DataFrame, find: Callable[[], Callable[[list[str]], list[tuple[int, str]]]], kind: str) -> DataFrame:
+    """path, line, kind, ident: what `find()` finds among the words of each text, at which word; nothing is dealt out anew."""
+    path = files.select("path").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = find()
+        for b in batches:
+            at, line, ident = [], [], []
+            for k, t in enumerate(b["t"]):
+                text = t.as_py()
+                if hits := look(text.split()):
+                    lines = _lines_of(text)
+                    at += [k] * len(hits)
+                    line += [lines[i] for i, _ in hits]
+                    ident += [x for _, x in hits]
+            for k in range(0, len(at), OUT_ROWS):
+                part = slice(k, k + OUT_ROWS)
+                yield pa.RecordBatch.from_arrays([b["path"].take(pa.array(at[part], pa.int32())), pa.array(line[part], pa.int64()), pa.array(ident[part], pa.string())], ["path", "line", "ident"])
+
+    out = marked(files).mapInArrow(run, StructType([path["path"], StructField("line", LongType()), StructField("ident", StringType())]))
+    return out.select("path", "line", F.lit(kind).alias("kind"), "ident")
 
 
 def digests(grams: DataFrame, key: bytes, gram: str = "gram") -> DataFrame:
@@ -155,23 +178,72 @@ def digests(grams: DataFrame, key: bytes, gram: str = "gram") -> DataFrame:
 
 
 def term_findings(files: DataFrame, terms: DataFrame) -> DataFrame:
-    """path, line, kind 'term', ident: runs that are a term of `terms` (term, normalised). Hot runs meet few terms, so terms are the small side."""
-    return runs(files).join(terms.select(F.col("term").alias("gram")), "gram").select("path", "line", F.lit("term").alias("kind"), F.col("gram").alias("ident"))
+    """path, line, kind 'term', ident: runs of up to MOST_WORDS words that are a term of `terms` (term, normalised). Every task holds the terms, a list for people."""
+    by: dict[str, list[tuple[list[str], str]]] = {}
+    for (term,) in terms.select("term").collect():
+        ws = (term or "").split(" ")
+        if all(ws) and len(ws) <= MOST_WORDS:
+            by.setdefault(ws[0], []).append((ws, term))
+
+    def find() -> Callable[[list[str]], list[tuple[int, str]]]:
+        return lambda ws: [(i, term) for i, w in enumerate(ws) if w in by for run, term in by[w] if len(run) == 1 or ws[i : i + len(run)] == run]
+
+    return _found(files, find, "term")
 
 
 def digest_findings(files: DataFrame, known: DataFrame, key: bytes) -> DataFrame:
     """path, line, kind 'digest', ident: runs whose digest is listed, and words that hold a listed term of three characters or more inside.
 
-    known: digest, id, inside (whether the term is looked for inside words). Distinct runs and distinct pieces are hashed, not every one.
+    known: digest, id, inside (whether the term is looked for inside words), a list for people that every task holds. Each text's distinct
+    runs are hashed where the text is; of words and pieces, a task hashes what it has not met among its latest ones.
     """
-    r = runs(files)
-    hit = digests(r, key).join(known.where("NOT inside"), "digest").select("gram", "id")
-    w = word_rows(files).select("path", "line", "word")
-    sub = lambda x: F.flatten(F.transform(F.sequence(F.lit(LEAST_INSIDE), F.length(x)), lambda n: F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substr(x, i, n))))
-    parts = w.select("word").distinct().where(F.length("word") >= LEAST_INSIDE).select("word", F.explode(F.array_distinct(sub(F.col("word")))).alias("gram"))
-    inside = parts.join(digests(parts, key), "gram").join(known.where("inside"), "digest").select("word", "id")
-    out = r.join(hit, "gram").select("path", "line", "id").unionAll(w.join(inside, "word").select("path", "line", "id"))
-    return out.select("path", "line", F.lit("digest").alias("kind"), F.col("id").alias("ident"))
+    whole: dict[bytes, list[str]] = {}
+    part: dict[bytes, list[str]] = {}
+    for digest, name, inside in known.select("digest", "id", "inside").collect():
+        if digest is not None and inside is not None and len(digest) == 64:
+            (part if inside else whole).setdefault(bytes.fromhex(digest), []).append(name)
+
+    def find() -> Callable[[list[str]], list[tuple[int, str]]]:
+        padded = (key if len(key) <= 64 else hashlib.sha256(key).digest()).ljust(64, b"\0")
+        inner, outer = (hashlib.sha256(bytes(x ^ pad for x in padded)) for pad in (0x36, 0x5C))
+
+        def digest(gram: str) -> bytes:
+            i, o = inner.copy(), outer.copy()
+            i.update(gram.encode())
+            o.update(i.digest())
+            return o.digest()
+
+        pieces: dict[str, list[str]] = {}
+        held: dict[str, tuple[list[str], list[str]]] = {}
+
+        def of_piece(gram: str) -> list[str]:
+            if (found := pieces.get(gram)) is None:
+                if len(pieces) >= RECENT:
+                    pieces.clear()
+                found = pieces[gram] = part.get(digest(gram), NONE[0])
+            return found
+
+        def of_word(w: str) -> tuple[list[str], list[str]]:
+            """The ids of a word as a run, and those inside it."""
+            if (found := held.get(w)) is None:
+                if len(held) >= RECENT:
+                    held.clear()
+                cut = {w[i : i + n] for n in range(LEAST_INSIDE, len(w) + 1) for i in range(len(w) - n + 1)} if part else ()
+                found = (whole.get(digest(w), []) if whole else [], [x for g in cut for x in of_piece(g)])
+                found = held[w] = found if any(found) else NONE
+            return found
+
+        def look(ws: list[str]) -> list[tuple[int, str]]:
+            out = [(i, x) for i, w in enumerate(ws) for found in (of_word(w),) if found is not NONE for x in (*found[0], *found[1])]
+            for n in range(2, MOST_WORDS + 1) if whole else ():
+                grams = list(map(" ".join, zip(*(ws[k:] for k in range(n)))))  # noqa: B905
+                if listed := {g: whole[d] for g in set(grams) if (d := digest(g)) in whole}:
+                    out += [(i, x) for i, g in enumerate(grams) if g in listed for x in listed[g]]
+            return out
+
+        return look
+
+    return _found(files, find, "digest")
 
 
 def glob(pattern: Column) -> Column:

@@ -1,5 +1,6 @@
 """Steps whose rows once grew faster than the input, held against brute force on small odd inputs."""
 
+import hmac
 import os
 import random
 import sys
@@ -7,7 +8,7 @@ import sys
 import numpy as np
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
-from proseloom.operators import alike, triage  # noqa: E402
+from proseloom.operators import alike, scrub, triage  # noqa: E402
 
 
 def plan(frame):
@@ -34,3 +35,19 @@ def test_runs_of_large_alphabets_are_exact():
     at, runs, _ = alike.run_sets(texts, 5)
     assert np.diff(at).tolist() == [8_996, 8_996, 8_996, 0, 0]
     assert len(set(runs[: at[1]]) & set(runs[at[1] : at[2]])) == 8_995
+
+
+def test_scrub_finds_runs_and_pieces_without_dealing_out_words(spark):
+    texts = [("a", "Ünder\nThe hood_under  the\u200b"), ("b", "x\n\nthe HOOD; hoodwinked unhood"), ("c", None), ("d", ""), ("e", "e\u0301a one two three four five"), ("f", "İx hoodhood")]
+    files = spark.createDataFrame(texts, "path string, text string")
+    terms = ["ünder the", "under the", "hood", "the hood", "éa one two three", "one two three four five", "hood", None, "two  three"]
+    got = scrub.term_findings(files, spark.createDataFrame([(t,) for t in terms], "term string"))
+    want = [("a", 1, "ünder the"), ("a", 2, "hood"), ("a", 2, "hood"), ("a", 2, "the hood"), ("a", 2, "under the"), ("b", 3, "hood"), ("b", 3, "hood"), ("b", 3, "the hood"), ("e", 1, "éa one two three")]
+    assert sorted((r.path, r.line, r.ident) for r in got.collect()) == want
+    listed = [("ünder the", False), ("hood", True), ("hood", False), ("win", True), ("éa one two three", False), ("ho", True)]
+    for key in (b"key", b"k" * 80):
+        known = spark.createDataFrame([(hmac.new(key, g.encode(), "sha256").hexdigest(), g + "!" * i, i) for g, i in listed], "digest string, id string, inside boolean")
+        got = scrub.digest_findings(files, known, key)
+        want = [("a", 1, "ünder the"), ("a", 2, "hood"), ("a", 2, "hood!"), ("b", 3, "hood"), ("b", 3, "hood!"), ("b", 3, "hood!"), ("b", 3, "hood!"), ("b", 3, "win!"), ("e", 1, "éa one two three"), ("f", 1, "hood!")]
+        assert sorted((r.path, r.line, r.ident) for r in got.collect()) == want
+        assert "Exchange" not in plan(got) and "Window" not in plan(got)
