@@ -6,8 +6,10 @@ import random
 import sys
 
 import numpy as np
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
+from proseloom.functions import tells  # noqa: E402
 from proseloom.operators import alike, scrub, triage  # noqa: E402
 
 
@@ -51,3 +53,13 @@ def test_scrub_finds_runs_and_pieces_without_dealing_out_words(spark):
         want = [("a", 1, "ünder the"), ("a", 2, "hood"), ("a", 2, "hood!"), ("b", 3, "hood"), ("b", 3, "hood!"), ("b", 3, "hood!"), ("b", 3, "hood!"), ("b", 3, "win!"), ("e", 1, "éa one two three"), ("f", 1, "hood!")]
         assert sorted((r.path, r.line, r.ident) for r in got.collect()) == want
         assert "Exchange" not in plan(got) and "Window" not in plan(got)
+
+
+def test_rules_look_at_edges_only_where_a_first_letter_stands(spark):
+    odd = ["it's\nIT'S énot just x, but y", "not just a, but b; _not only c, but d", "a, b, and c, d, and e", "ab, cd and ef, g and hi’s", "Énote that NOTE THAT notes that", "step 3 steps 4 tables٣ line\t5", "(?) the above see BELOW, see belows", "serves as boasts, xboasts boastsx", "", "𝒳not merely z, but a_b, c, and d"]
+    d = spark.createDataFrame([(t,) for t in odd], "t string")
+    plain = lambda p: "(?d)" + tells.portable(p).replace(r"\b", tells.EDGE)
+    for i, _, _, p in tells.RULES:
+        bad = d.where(F.regexp_extract_all("t", F.lit(tells.java(p)), F.lit(0)) != F.regexp_extract_all("t", F.lit(plain(p)), F.lit(0)))
+        assert bad.count() == 0, i
+        assert not tells.java(p).replace("(?d)", "").replace("(?i)", "").startswith(tells.EDGE), i
