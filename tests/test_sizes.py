@@ -3,13 +3,15 @@
 import hmac
 import os
 import random
+import re
 import sys
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
-from proseloom.functions import tells  # noqa: E402
+from proseloom.functions import markdown, tells  # noqa: E402
 from proseloom.operators import alike, scrub, triage  # noqa: E402
 
 
@@ -63,3 +65,25 @@ def test_rules_look_at_edges_only_where_a_first_letter_stands(spark):
         bad = d.where(F.regexp_extract_all("t", F.lit(tells.java(p)), F.lit(0)) != F.regexp_extract_all("t", F.lit(plain(p)), F.lit(0)))
         assert bad.count() == 0, i
         assert not tells.java(p).replace("(?d)", "").replace("(?i)", "").startswith(tells.EDGE), i
+
+
+def test_sentences_of_a_long_paragraph_in_time_and_as_before():
+    def before(text):
+        words = text.rstrip(markdown.CLOSERS).split()
+        last = words[-1].lower() if words else ""
+        return last not in markdown.ABBREVIATIONS and not re.fullmatch(r"[a-z]\.", last)
+
+    r = random.Random(3)
+    for _ in range(3_000):
+        t = "".join(r.choices(["e.g.", "approx.", "xapprox.", "K.", "a.", " ", "\n", '"', ")", "’", "word.", "i.e.", "!", "İ."], k=r.randint(0, 6)))
+        assert markdown._ends_sentence(t + "tail", len(t)) == before(t), t
+    long = "One sentence. " * 20_000
+    began = time.time()
+    assert len(markdown.units(markdown.blocks(long)[0])) == 20_000 and time.time() - began < 5
+
+
+def test_rows_of_markdown_leave_python_a_few_texts_at_a_time(spark):
+    many = spark.range(300).select(F.when(F.col("id") % 7 > 0, F.concat(F.lit("Say it. No "), F.col("id").cast("string"), F.lit(".\n\n- a | b\n- c"))).alias("t"))
+    got = many.select(F.size(markdown.unit_rows("t")).alias("n"), F.size(markdown.change_rows("t", F.lit("Say it.\n\n- c"))).alias("c"), F.size(markdown.block_rows("t")).alias("b")).groupBy("n", "c", "b").count()
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 2, 0, 43), (4, 4, 2, 257)]
+    assert "ArrowEvalPython" in plan(got) and "pandas" not in markdown._rows_of.__code__.co_names
