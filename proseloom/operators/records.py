@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.tells import words
+from ..functions.text import EDGE, UNIT
 
 
 def first_copies(records: DataFrame, ident: list[str], order: list[str]) -> DataFrame:
@@ -53,3 +58,28 @@ def first_uses(texts: DataFrame, term_col: str, rank: str, ident: str) -> DataFr
     """ident, term of every term that no row of smaller rank uses."""
     t = texts.select(F.col(ident), F.col(rank).alias("r"), F.explode(F.array_distinct(term_col)).alias("term"))
     return t.join(t.groupBy("term").agg(F.min("r").alias("first")), "term").where("r = first").select(ident, "term")
+
+
+def runs_held(docs: DataFrame, known: list, n: int) -> DataFrame:
+    """doc_id, item_id: each distinct run of n normalised words of a text (doc_id, text) that stands in `known` (item_id, run joined by UNIT), once an item."""
+    of: dict[tuple[str, ...], list] = {}
+    for item, run in known:
+        of.setdefault(tuple(run.split(UNIT)), []).append(item)
+    first = {run[:2] for run in of}
+    doc = docs.select("doc_id").schema
+
+    def held(text: str | None) -> list:
+        ws = [w for w in (x.strip(EDGE) for x in (text or "").split()) if w]
+        at = [i for i, two in enumerate(zip(ws, ws[1:])) if two in first]  # noqa: B905
+        return [x for run in {tuple(ws[i : i + n]) for i in at} for x in of.get(run, ())]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits = [(k, x) for k, t in enumerate(b["t"]) for x in held(t.as_py())]
+            if hits:
+                at, items = zip(*hits, strict=True)
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(at, pa.int32())), pa.array(items, pa.int64())], ["doc_id", "item_id"])
+
+    # Words are folded before they are cut out: white space bounds what their case depends on, and no punctuation has a case.
+    low = F.translate(F.lower("text"), "’", "'")
+    return docs.select("doc_id", low.alias("t")).mapInArrow(look, StructType([doc["doc_id"], StructField("item_id", LongType())]))

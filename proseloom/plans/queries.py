@@ -81,17 +81,18 @@ def paragraph_diff(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.size(T.removed(F.col("old"), F.col("new"))).cast("bigint").alias("n_removed"), F.size(T.removed(F.col("new"), F.col("old"))).cast("bigint").alias("n_added"), F.array_join(T.removed(F.col("old"), F.col("new")), "|").alias("removed"))
 
 
-#: Runs of the benchmark that are broadcast to the documents; more are joined by shuffles.
+#: Runs of the benchmark that every task holds; more are joined by shuffles.
 BENCHMARK_RUNS = 1_000_000
 
 
 def shingle_overlap_benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct six-word runs that each document shares with each benchmark item: an equi-join on the run, to the documents' side where the benchmark is small."""
+    """Distinct six-word runs that each document shares with each benchmark item: looked up where the document is, joined by the run where the benchmark is large."""
     runs = lambda d, i: d.select(i, T.norm_tokens(F.col("text")).alias("w")).select(i, F.explode(T.shingles(F.col("w"), 6)).alias("s"))
-    bench = runs(_t(spark, sf, "benchmark"), "item_id").withColumn("h", F.xxhash64("s"))
-    few = bench.limit(BENCHMARK_RUNS + 1).count() <= BENCHMARK_RUNS
-    docs = runs(_t(spark, sf, "documents"), "doc_id").withColumn("h", F.xxhash64("s"))
-    return docs.join(F.broadcast(bench) if few else bench, ["h", "s"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    bench = runs(_t(spark, sf, "benchmark"), "item_id")
+    few = bench.limit(BENCHMARK_RUNS + 1).collect()
+    docs = _t(spark, sf, "documents")
+    found = S.runs_held(docs, few, 6) if len(few) <= BENCHMARK_RUNS else runs(docs, "doc_id").join(bench, "s").select("doc_id", "item_id")
+    return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 def token_similarity(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
 from proseloom.functions import markdown, tells  # noqa: E402
-from proseloom.operators import alike, scrub, triage  # noqa: E402
+from proseloom.functions import text as T  # noqa: E402
+from proseloom.operators import alike, records, scrub, triage  # noqa: E402
 
 
 def plan(frame):
@@ -87,3 +88,16 @@ def test_rows_of_markdown_leave_python_a_few_texts_at_a_time(spark):
     got = many.select(F.size(markdown.unit_rows("t")).alias("n"), F.size(markdown.change_rows("t", F.lit("Say it.\n\n- c"))).alias("c"), F.size(markdown.block_rows("t")).alias("b")).groupBy("n", "c", "b").count()
     assert sorted(tuple(r) for r in got.collect()) == [(0, 2, 0, 43), (4, 4, 2, 257)]
     assert "ArrowEvalPython" in plan(got) and "pandas" not in markdown._rows_of.__code__.co_names
+
+
+def test_runs_held_equal_a_join_of_runs_without_dealing_out(spark):
+    r = random.Random(8)
+    make = lambda k: " ".join(r.choices(["It’s", "it's", "(ab", "AB)", "ΑΣ.", "ας", "—", "x-y", "\u00a0z", "q\u2003q"], k=k))
+    docs = spark.createDataFrame([(i % 30, make(r.randint(0, 60)) if i != 3 else None) for i in range(40)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, make(r.randint(0, 40))) for i in range(30)], "item_id long, text string")
+    runs = lambda d, i: d.select(i, F.explode(T.shingles(T.norm_tokens(F.col("text")), 3)).alias("s"))
+    bench = runs(items, "item_id")
+    got = records.runs_held(docs, bench.collect(), 3)
+    assert "Exchange" not in plan(got)
+    want = sorted(tuple(x) for x in runs(docs, "doc_id").join(bench, "s").select("doc_id", "item_id").collect())
+    assert sorted(tuple(x) for x in got.collect()) == want and want
