@@ -110,6 +110,11 @@ def char_grams(text: Column, n: int = 5) -> Column:
     return let(F.regexp_extract_all(F.lower(flat(text)), F.lit("(?s)."), 0), lambda x: _runs(x, n, ""))
 
 
+def text_runs(text: Column, sizes: list[int]) -> Column:
+    """Distinct runs of each of the sizes of characters; of none, one empty run."""
+    return let(F.regexp_extract_all(text, F.lit("(?s)."), 0), lambda x: F.flatten(F.array(_none(), *(_runs(x, n, "") if n else F.array(F.lit("")) for n in sizes))))
+
+
 def paragraphs(text: Column, sep: str = r"\n[ \t]*\n") -> Column:
     """Stripped parts between separators, blank lines unless told otherwise, empty ones left out."""
     return F.filter(F.transform(F.split(text, sep), stripped), lambda x: x != "")

@@ -101,3 +101,16 @@ def test_runs_held_equal_a_join_of_runs_without_dealing_out(spark):
     assert "Exchange" not in plan(got)
     want = sorted(tuple(x) for x in runs(docs, "doc_id").join(bench, "s").select("doc_id", "item_id").collect())
     assert sorted(tuple(x) for x in got.collect()) == want and want
+
+
+def test_quotes_meet_texts_by_a_run_of_characters(spark, monkeypatch):
+    texts = ["The pump's start at   noon and stop", "stop the pumps start 𝒳𝒳 at noon", "", None, "ab", "the pumps START [x] at noon", "ba ab"]
+    quotes = ["The pump’s start [...] noon", "at noon [..] stop", "AB", "[...]", "'", "a [...] b", "𝒳𝒳 at", None, "nobody said it"]
+    e = spark.createDataFrame([(i, i == 5, t) for i, t in enumerate(texts)], "id int, suggested boolean, text string")
+    q = spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string")
+    want = [(0, 0), (0, 1), (1, 0), (2, 4), (2, 6), (4, 0), (4, 1), (4, 2), (4, 3), (4, 4), (4, 6), (5, 4), (5, 6), (6, 1)]
+    for most in (100, 0):
+        monkeypatch.setattr(triage, "QUOTES", most)
+        got = triage.quoted_in(q, e)
+        assert "NestedLoop" not in plan(got)
+        assert sorted(tuple(r) for r in got.collect()) == want
